@@ -92,18 +92,21 @@ def encode_products(lines: DataFrame) -> DataFrame:
     return lines.join(product_codes(lines), "stock", "left")
 
 
-def active_customers(lines: DataFrame, more_than: int = K.MIN_INVOICES_EXCLUSIVE) -> DataFrame:
-    """D3 + C15: keep lines of customers with more than ``more_than`` invoices.
+def active_customer_ids(lines: DataFrame, more_than: int = K.MIN_INVOICES_EXCLUSIVE) -> DataFrame:
+    """D3: customers with more than ``more_than`` invoices, with their count.
 
-    Distinct (customer, invoice) pairs are formed first (partial aggregation
-    spreads a heavy customer over many tasks); the semi join is left to AQE,
-    which splits skewed partitions.
+    Distinct (customer, invoice) pairs are formed first, so partial
+    aggregation spreads a heavy customer over many tasks.
     """
-    keep = (lines.select("user_id", "order_id").distinct()
-            .groupBy("user_id").agg(F.count(F.lit(1)).alias("_invoices"))
-            .filter(F.col("_invoices") > more_than)
-            .select("user_id"))
-    return lines.join(keep, "user_id", "left_semi")
+    return (lines.select("user_id", "order_id").distinct()
+            .groupBy("user_id").agg(F.count(F.lit(1)).alias("n_invoices"))
+            .filter(F.col("n_invoices") > more_than))
+
+
+def active_customers(lines: DataFrame, more_than: int = K.MIN_INVOICES_EXCLUSIVE) -> DataFrame:
+    """D3 + C15: keep lines of active customers (semi join; AQE splits
+    skewed partitions of the line side)."""
+    return lines.join(active_customer_ids(lines, more_than).select("user_id"), "user_id", "left_semi")
 
 
 def consolidate_lines(lines: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ class RetailPipeline:
                  share: float = K.TRAIN_SHARE, seed: int = K.SEED, policy: str = "all"):
         self.raw = raw
         self.mode = mode
-        self.codes = K.NON_PRODUCT_CODES if codes is None else codes
+        self.deny_codes = K.NON_PRODUCT_CODES if codes is None else codes
         self.share = share
         self.seed = seed
         self.policy = policy
@@ -42,10 +42,19 @@ class RetailPipeline:
 
     # --- wrangling -------------------------------------------------------
     @cached_property
-    def lines(self) -> DataFrame:
-        """Net-positive product lines with product codes (before the customer filter)."""
+    def kept(self) -> DataFrame:
+        """Net-positive product lines (cancellations netted, codes dropped)."""
         netted = cleanse.net_cancellations(cleanse.drop_anonymous(self.raw), self.mode)
-        return cleanse.encode_products(cleanse.drop_codes(netted, self.codes))
+        return cleanse.drop_codes(netted, self.deny_codes)
+
+    @cached_property
+    def product_codes(self) -> DataFrame:
+        return cleanse.product_codes(self.kept)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Kept lines with product codes (before the customer filter)."""
+        return self.kept.join(self.product_codes, "stock", "left")
 
     @cached_property
     def clean(self) -> DataFrame:
