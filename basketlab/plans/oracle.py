@@ -239,7 +239,7 @@ def _corr_parts(features: list[str], tag: str, src: str = "x_train") -> tuple[st
     cte = f", corr_w_{tag} AS (SELECT {', '.join(sel)} FROM {src})"
     values = ", ".join(f"('{a}', '{b}', '{n}')" for a, b, n in rows)
     body = (f"SELECT m.a AS feature_a, m.b AS feature_b, {r6('u.v')} AS corr "
-            f"FROM (UNPIVOT INCLUDE NULLS corr_w_{tag} ON COLUMNS(*) INTO NAME n VALUE v) u "
+            f"FROM corr_w_{tag} UNPIVOT INCLUDE NULLS (v FOR n IN ({', '.join(sorted({r[2] for r in rows}))})) u "
             f"JOIN (VALUES {values}) m(a, b, n) USING (n)")
     return cte, body
 

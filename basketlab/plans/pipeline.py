@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.operators import candidates as C
 from basketlab.operators import cleanse, features, orders as O
+from basketlab.session import materialize
 from basketlab.sources.raw import invoice_lines_from_tables
 
 # Deny list used with the star-schema test tables (their codes are product
@@ -27,8 +28,10 @@ TEST_TABLE_CODES = ["red bolt"]
 
 class RetailPipeline:
     def __init__(self, raw: DataFrame, mode: str = "reference", codes: list[str] | None = None,
-                 share: float = K.TRAIN_SHARE, seed: int = K.SEED, policy: str = "all"):
+                 share: float = K.TRAIN_SHARE, seed: int = K.SEED, policy: str = "all",
+                 checkpoint_stages: bool = True):
         self.raw = raw
+        self.checkpoint_stages = checkpoint_stages
         self.mode = mode
         self.deny_codes = K.NON_PRODUCT_CODES if codes is None else codes
         self.share = share
@@ -37,15 +40,23 @@ class RetailPipeline:
 
     @classmethod
     def from_dir(cls, spark: SparkSession, base_dir: str, **kw) -> "RetailPipeline":
+        """Pipeline over the star-schema test tables; the invoice lines they
+        map to are ingested (written once) before any step reads them."""
         kw.setdefault("codes", TEST_TABLE_CODES)
-        return cls(invoice_lines_from_tables(spark, base_dir), **kw)
+        raw = invoice_lines_from_tables(spark, base_dir)
+        if kw.get("checkpoint_stages", True):
+            raw = materialize(raw, "invoice_lines")
+        return cls(raw, **kw)
+
+    def _stage(self, df: DataFrame, label: str) -> DataFrame:
+        return materialize(df, label) if self.checkpoint_stages else df
 
     # --- wrangling -------------------------------------------------------
     @cached_property
     def kept(self) -> DataFrame:
         """Net-positive product lines (cancellations netted, codes dropped)."""
         netted = cleanse.net_cancellations(cleanse.drop_anonymous(self.raw), self.mode)
-        return cleanse.drop_codes(netted, self.deny_codes)
+        return self._stage(cleanse.drop_codes(netted, self.deny_codes), "kept")
 
     @cached_property
     def product_codes(self) -> DataFrame:
@@ -58,15 +69,15 @@ class RetailPipeline:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return cleanse.consolidate_lines(cleanse.active_customers(self.lines))
+        return self._stage(cleanse.consolidate_lines(cleanse.active_customers(self.lines)), "clean")
 
     @cached_property
     def orders(self) -> DataFrame:
-        return O.build_orders(self.clean, self.share, self.seed)
+        return self._stage(O.build_orders(self.clean, self.share, self.seed), "orders")
 
     @cached_property
     def order_products(self) -> DataFrame:
-        return O.build_order_products(self.clean, self.orders)
+        return self._stage(O.build_order_products(self.clean, self.orders), "order_products")
 
     @cached_property
     def products(self) -> DataFrame:
@@ -83,15 +94,15 @@ class RetailPipeline:
 
     @cached_property
     def up_base(self) -> DataFrame:
-        return features.user_product_base(self.priors)
+        return self._stage(features.user_product_base(self.priors), "up_base")
 
     @cached_property
     def product_features(self) -> DataFrame:
-        return features.product_features(self.up_base, self.products)
+        return self._stage(features.product_features(self.up_base, self.products), "product_features")
 
     @cached_property
     def user_features(self) -> DataFrame:
-        return features.user_features(self.up_base, self.priors, self.orders)
+        return self._stage(features.user_features(self.up_base, self.priors, self.orders), "user_features")
 
     @cached_property
     def up_features(self) -> DataFrame:
@@ -110,11 +121,11 @@ class RetailPipeline:
 
     @cached_property
     def train_frame(self) -> DataFrame:
-        return self.feature_frame("train")
+        return self._stage(self.feature_frame("train"), "train_frame")
 
     @cached_property
     def test_frame(self) -> DataFrame:
-        return self.feature_frame("test")
+        return self._stage(self.feature_frame("test"), "test_frame")
 
     def truth(self, eval_set: str) -> DataFrame:
         return (self.order_products.filter(F.col("eval_set") == eval_set)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,22 +18,19 @@ Statistic = Callable[[Column, Column], Column]
 def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
     """Pearson correlation of every ordered feature pair, long form.
 
-    One pass: all pair co-moments in a single aggregate, then ``stack``.
-    covar_pop / (stddev_pop · stddev_pop) with try_divide, so a constant
-    column gives null (pandas: NaN) instead of an ANSI divide error.
+    ``pyspark.ml.stat.Correlation`` over one assembled vector: a mean pass,
+    then a centred co-moment pass with ``treeAggregate`` (numerically stable,
+    partial sums merged in a tree). The result is the k x k matrix, bounded
+    by the number of features, turned into rows. A constant column gives null
+    (pandas: NaN), including its diagonal entry.
     """
-    exprs, pairs = [], []
-    for i, a in enumerate(features):
-        for j in range(i, len(features)):
-            b = features[j]
-            name = f"_c{i}_{j}"
-            exprs.append(F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(name))
-            pairs.append((a, b, name))
-            if i != j:
-                pairs.append((b, a, name))
-    wide = df.agg(*exprs)
-    body = ", ".join(f"'{a}', '{b}', {n}" for a, b, n in pairs)
-    return wide.selectExpr(f"stack({len(pairs)}, {body}) AS (feature_a, feature_b, corr)")
+    vec = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="keep").transform(
+        df.select(*[F.col(c).cast("double").alias(c) for c in features]))
+    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
+    spread = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in features]).head()
+    rows = [(a, b, None if math.isnan(m[i][j]) or not spread[a] else float(m[i][j]))
+            for i, a in enumerate(features) for j, b in enumerate(features)]
+    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
 
 
 def diff_of_means(value: Column, in_first: Column) -> Column:

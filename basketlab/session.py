@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,3 +56,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="basketlab-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df, label: str = "stage"):
+    """Cut lineage: write ``df`` as Parquet under the checkpoint folder and
+    read it back.
+
+    Used at stage boundaries, where one table feeds several branches: later
+    plans start from the written files (with column pruning and filter
+    pushdown) instead of re-planning and recomputing the whole lineage. The
+    folder is the cluster's shared checkpoint folder, so a lost executor
+    never loses a finished stage.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
