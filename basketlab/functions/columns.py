@@ -58,3 +58,41 @@ def basket_f1(pred: str | Column, true: str | Column) -> Column:
     t = F.array_distinct(col(true))
     tp = F.size(F.array_intersect(p, t))
     return F.when(tp == 0, F.lit(0.0)).otherwise(ratio(tp * 2, F.size(p) + F.size(t)))
+
+
+# Integer mixing hash for permutations (all below 2^31, so
+# every product of two of them fits in a signed 64-bit integer).
+HASH_PRIME = 2147483647
+HASH_KEY_MULT = 1000003
+HASH_REP_MULT = 40503
+HASH_ROUNDS = [(1103515245, 13), (1181783497, 17), (1597334677, 11)]
+
+
+def mix_hash(keys: list[str | Column], rep: str | Column) -> Column:
+    """Pseudo-random integer in [0, 2^31 - 1) from non-negative integer keys
+    and a replicate number: multiply-mod-prime rounds with xor-shifts. Pure
+    64-bit integer arithmetic (whole-stage codegen, no strings), and the same
+    value in any SQL engine with %, >> and xor."""
+    p = F.lit(HASH_PRIME)
+    acc = None
+    for k in keys:
+        part = F.pmod(col(k).cast("long"), p)
+        acc = part if acc is None else F.pmod(acc * HASH_KEY_MULT + part, p)
+    x = F.pmod(acc + col(rep).cast("long") * HASH_REP_MULT, p)
+    for mult, shift in HASH_ROUNDS:
+        x = F.pmod(x * mult, p)
+        x = x.bitwiseXOR(F.shiftright(x, shift))
+    return F.pmod(x, p)
+
+
+def mix_hash_sql(keys: list[str], rep: str) -> str:
+    """``mix_hash`` as SQL text (DuckDB dialect)."""
+    acc = None
+    for k in keys:
+        part = f"(CAST({k} AS BIGINT) % {HASH_PRIME})"
+        acc = part if acc is None else f"(({acc}) * {HASH_KEY_MULT} + {part}) % {HASH_PRIME}"
+    x = f"(({acc}) + CAST({rep} AS BIGINT) * {HASH_REP_MULT}) % {HASH_PRIME}"
+    for mult, shift in HASH_ROUNDS:
+        x = f"(({x}) * {mult}) % {HASH_PRIME}"
+        x = f"xor({x}, ({x}) >> {shift})"
+    return f"(({x}) % {HASH_PRIME})"

@@ -10,6 +10,7 @@ pre-registered views (lineitem, orders, part, customer, nation, events).
 from __future__ import annotations
 
 from basketlab import constants as K
+from basketlab.functions.columns import mix_hash_sql
 from basketlab.plans import catalog as Q
 from basketlab.plans.pipeline import TEST_TABLE_CODES
 
@@ -257,7 +258,7 @@ def _perm_sql(features: list[str], size: int, two_sided: bool) -> str:
 , p_n0 AS (SELECT count(*) FILTER (WHERE labels = 0) AS n0 FROM x_train),
 p_perm AS (
   SELECT r.range AS rep, t.*, row_number() OVER (PARTITION BY r.range ORDER BY
-         md5(concat_ws(':', t.order_id, t.product_id, r.range)), t.order_id, t.product_id) AS rk
+         {mix_hash_sql(['t.order_id', 't.product_id'], 'r.range')}, t.order_id, t.product_id) AS rk
   FROM x_train t CROSS JOIN range(1, {size + 1}) r),
 p_stat AS (SELECT rep, {avg0} FROM p_perm, p_n0 GROUP BY rep),
 p_obs AS (SELECT {obs} FROM x_train),

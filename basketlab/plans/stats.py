@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab import constants as K
+from basketlab.functions.columns import mix_hash
 
 Statistic = Callable[[Column, Column], Column]
 
@@ -39,8 +40,8 @@ def diff_of_means(value: Column, in_first: Column) -> Column:
 
 
 def _bucket_bits(n: int) -> int:
-    # ~16k rows per hash bucket; 4..24 bits.
-    return max(4, min(24, math.ceil(math.log2(max(n, 1) / 16384)) if n > 16384 else 4))
+    # ~16k rows per hash bucket of a replicate; 4..24 leading bits of a 31-bit hash.
+    return max(4, min(24, math.ceil(math.log2(n / 16384)) if n > 16384 else 4))
 
 
 def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, features: list[str],
@@ -50,7 +51,7 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     labels) and ``size`` label permutations; long form (rep, feature, stat).
 
     Replicate r puts in the first group the n0 rows with the smallest
-    md5(key ':' r) (ties by key), n0 = rows with the first label: an exact
+    mix_hash(key, r) (ties by key), n0 = rows with the first label: an exact
     permutation of the labels. The cut is found without sorting a replicate:
     a histogram over the leading hash bits locates the bucket holding the
     n0-th row, and only that bucket (~16k rows per replicate) is ranked.
@@ -58,14 +59,14 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     partial aggregation, so only per-task partial results are shuffled.
     """
     base = df.select(*key_cols, label, *features)
-    sizes = base.agg(F.count(F.lit(1)).alias("n"),
-                     F.count_if(F.col(label) == first_label).alias("n0")).first()
-    n, n0 = int(sizes["n"]), int(sizes["n0"])
+    sizes = base.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == first_label).alias("_n0"),
+                     *[F.sum(F.col(f).cast("double")).alias(f) for f in features]).first()
+    n, n0 = int(sizes["_n"]), int(sizes["_n0"])
     bits = _bucket_bits(n)
-    h = F.md5(F.concat_ws(":", *[F.col(k).cast("string") for k in key_cols], F.col("rep").cast("string")))
-    lead = F.conv(F.substring("_h", 1, 6), 16, 10).cast("long")
+    h = mix_hash(key_cols, "rep")
+    bucket = F.shiftright(F.col("_h"), 31 - bits)
     reps = base.select(*key_cols, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep"))
-    hashed = reps.withColumn("_h", h).withColumn("_b", F.shiftright(lead, 24 - bits))
+    hashed = reps.withColumn("_h", h).withColumn("_b", bucket)
 
     per_bucket = hashed.groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     upto = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -80,12 +81,23 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     reps_full = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
     scored = (reps_full.join(F.broadcast(cut), "rep", "left")
               .withColumn("_h", F.when(F.col("rep") > 0, h))
-              .withColumn("_b", F.when(F.col("rep") > 0, F.shiftright(lead, 24 - bits))))
+              .withColumn("_b", F.when(F.col("rep") > 0, bucket)))
     first = F.when(F.col("rep") == 0, F.col(label) == first_label).otherwise(
         (F.col("_b") < F.col("_bstar"))
         | ((F.col("_b") == F.col("_bstar")) & (F.struct("_h", *key_cols) <= F.col("_last"))))
-    wide = scored.withColumn("_first", first).groupBy("rep").agg(
-        *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
+    scored = scored.withColumn("_first", first)
+    if statistic is diff_of_means and 0 < n0 < n:
+        # Group sizes are n0 and n - n0 in every replicate, and feature totals
+        # are fixed, so the first-group sum alone gives both means.
+        n1 = n - n0
+        sums = scored.groupBy("rep").agg(
+            *[F.sum(F.when(F.col("_first"), F.col(f).cast("double"))).alias(f) for f in features])
+        wide = sums.select("rep", *[(F.coalesce(F.col(f), F.lit(0.0)) / n0
+                                     - (F.lit(float(sizes[f] or 0.0)) - F.coalesce(F.col(f), F.lit(0.0))) / n1)
+                                    .alias(f) for f in features])
+    else:
+        wide = scored.groupBy("rep").agg(
+            *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
     body = ", ".join(f"'{f}', `{f}`" for f in features)
     return wide.selectExpr("rep", f"stack({len(features)}, {body}) AS (feature, stat)")
 
