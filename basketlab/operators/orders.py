@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.functions.columns import ordered_ids, whole_days_between
 from basketlab.operators.indexing import hash_split
+from basketlab.operators.sequence import number_within
 
 EVAL_SETS = ("prior", "train", "test")
 
@@ -20,17 +21,20 @@ def orders_from_lines(clean: DataFrame) -> DataFrame:
             .select(F.col("_f.user_id").alias("user_id"), "order_id", F.col("_f.order_date").alias("order_date")))
 
 
-def sequence_orders(orders: DataFrame) -> DataFrame:
+def sequence_orders(orders: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """Order number per customer (ties by order_id), calendar
-    columns and whole days since the previous order (null for the first)."""
-    w = Window.partitionBy("user_id").orderBy("order_date", "order_id")
-    return orders.select(
-        "user_id", "order_id", "order_date",
-        F.row_number().over(w).cast("long").alias("order_number"),
+    columns and whole days since the previous order (null for the first).
+
+    Numbering goes through ``number_within``, so a customer with a huge
+    number of orders is spread over many tasks.
+    """
+    seq = number_within(orders, ["user_id"], ["order_date", "order_id"], "order_number",
+                        prev={"order_date": "_prev_date"}, heavy_rows=heavy_rows)
+    return seq.select(
+        "user_id", "order_id", "order_date", "order_number",
         F.weekday("order_date").cast("long").alias("order_dow"),
         F.hour("order_date").cast("long").alias("order_hour_of_day"),
-        whole_days_between(F.lag("order_date").over(w), F.col("order_date")).cast("long")
-        .alias("days_since_prior_order"),
+        whole_days_between(F.col("_prev_date"), F.col("order_date")).cast("long").alias("days_since_prior_order"),
     )
 
 
@@ -56,10 +60,10 @@ def build_orders(clean: DataFrame, share: float = K.TRAIN_SHARE, seed: int = K.S
         "days_since_prior_order", "eval_set")
 
 
-def cart_position(clean: DataFrame) -> DataFrame:
+def cart_position(clean: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """Position of each product in its order, following line order."""
-    w = Window.partitionBy("order_id").orderBy("line_no", "product_id")
-    return clean.withColumn("add_to_cart_order", F.row_number().over(w).cast("long"))
+    return number_within(clean, ["order_id"], ["line_no", "product_id"], "add_to_cart_order",
+                         heavy_rows=heavy_rows)
 
 
 def mark_reordered(lines: DataFrame) -> DataFrame:
@@ -75,10 +79,10 @@ def mark_reordered(lines: DataFrame) -> DataFrame:
             .drop("_first"))
 
 
-def nth_purchase(lines: DataFrame) -> DataFrame:
+def nth_purchase(lines: DataFrame, heavy_rows: int | None = None) -> DataFrame:
     """N-th purchase of the product by the customer, in order-number order."""
-    w = Window.partitionBy("user_id", "product_id").orderBy("order_number", "order_id")
-    return lines.withColumn("user_buy_product_times", F.row_number().over(w).cast("long"))
+    return number_within(lines, ["user_id", "product_id"], ["order_number", "order_id"],
+                         "user_buy_product_times", heavy_rows=heavy_rows)
 
 
 def build_order_products(clean: DataFrame, orders: DataFrame) -> DataFrame:

@@ -30,3 +30,21 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.columns == ["rank", "product_id", "description", "value"]
     assert df.count() == 10
+
+
+@pytest.mark.parametrize("name", ["q19_orders", "cart_position", "nth_purchase", "q15_train_features"])
+def test_heavy_group_path_matches_oracle(spark, sf_small, con, name):
+    """Force every group through the heavy-group numbering path."""
+    from basketlab.plans.pipeline import RetailPipeline
+    from basketlab.plans import catalog
+    spark.conf.set("basketlab.heavyGroupRows", "5")
+    try:
+        saved = dict(catalog._PIPELINES)
+        catalog._PIPELINES.clear()
+        got = entry.queries()[name](spark, sf_small).toPandas()
+    finally:
+        spark.conf.unset("basketlab.heavyGroupRows")
+        catalog._PIPELINES.clear()
+        catalog._PIPELINES.update(saved)
+    want = con.execute(SQL[name]).fetchdf()
+    assert compare(got, want) == "ok"
