@@ -33,7 +33,7 @@ def user_product_base(priors: DataFrame) -> DataFrame:
         F.count_if(F.col("order_number") > 1).alias("n_after_first"),
         F.min("order_number").alias("first_order_number"),
         F.max("order_number").alias("last_order_number"),
-        F.max(F.struct("order_number", "order_id")).alias("_last"),
+        F.max_by("order_id", "order_number").alias("last_order_id"),
         F.sum("add_to_cart_order").alias("sum_pos_in_cart"),
     )
 
@@ -107,7 +107,7 @@ def user_product_features(base: DataFrame) -> DataFrame:
     return base.select(
         "user_id", "product_id",
         F.col("n_lines").alias("nb_orders"),
-        F.col("_last.order_id").alias("last_order_id"),
+        "last_order_id",
         "sum_pos_in_cart",
         F.col("quantity").alias("up_total_quantity"),
         F.col("revenue").cast("double").alias("up_total_spent"),
