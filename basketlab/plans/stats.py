@@ -53,50 +53,73 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     Replicate r puts in the first group the n0 rows with the smallest
     mix_hash(key, r) (ties by key), n0 = rows with the first label: an exact
     permutation of the labels. The cut is found without sorting a replicate:
-    a histogram over the leading hash bits locates the bucket holding the
+    a histogram over the hash's leading bits locates the bucket holding the
     n0-th row, and only that bucket (~16k rows per replicate) is ranked.
     Rows are replicated by a generator inside the scan stage and reduced by
     partial aggregation, so only per-task partial results are shuffled.
+
+    For the difference of means two passes suffice: group sizes are fixed
+    (n0, n - n0), so the first-group sum per feature decides the statistic;
+    it is the sum of the buckets below the cut (from the histogram pass)
+    plus the ranked part of the boundary bucket. Other statistics take a
+    third pass that marks each replicated row's group.
     """
     base = df.select(*key_cols, label, *features)
-    sizes = base.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col(label) == first_label).alias("_n0"),
-                     *[F.sum(F.col(f).cast("double")).alias(f) for f in features]).first()
+    is_first = F.col(label) == first_label
+    sizes = base.agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_first).alias("_n0"),
+                     *[F.sum(F.col(f).cast("double")).alias(f"t_{f}") for f in features],
+                     *[F.sum(F.when(is_first, F.col(f).cast("double"))).alias(f"o_{f}") for f in features]).first()
     n, n0 = int(sizes["_n"]), int(sizes["_n0"])
     bits = _bucket_bits(n)
     h = mix_hash(key_cols, "rep")
     bucket = F.shiftright(F.col("_h"), 31 - bits)
-    reps = base.select(*key_cols, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep"))
-    hashed = reps.withColumn("_h", h).withColumn("_b", bucket)
-
-    per_bucket = hashed.groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    fast = statistic is diff_of_means and 0 < n0 < n
+    carried = features if fast else []
+    def replicated(cols):
+        reps = base.select(*key_cols, *cols, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep"))
+        return reps.withColumn("_h", h).withColumn("_b", bucket)
+
+    hashed = replicated([])
+    per_bucket = replicated(carried).groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("_cnt"),
+                                                 *[F.sum(F.col(f).cast("double")).alias(f) for f in carried])
     upto = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    boundary = (per_bucket.withColumn("_cum", F.sum("_cnt").over(upto))
+    below = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    boundary = (per_bucket.select("rep", "_b", "_cnt", F.sum("_cnt").over(upto).alias("_cum"),
+                                  *[F.coalesce(F.sum(f).over(below), F.lit(0.0)).alias(f"_pre_{f}") for f in carried])
                 .filter((F.col("_cum") >= n0) & (F.col("_cum") - F.col("_cnt") < n0))
-                .select("rep", F.col("_b").alias("_bstar"), (F.lit(n0) - F.col("_cum") + F.col("_cnt")).alias("_need")))
+                .select("rep", F.col("_b").alias("_bstar"),
+                        (F.lit(n0) - F.col("_cum") + F.col("_cnt")).alias("_need"),
+                        *[f"_pre_{f}" for f in carried]))
     in_bucket = hashed.join(F.broadcast(boundary), "rep").filter(F.col("_b") == F.col("_bstar"))
     order = Window.partitionBy("rep").orderBy("_h", *key_cols)
-    cut = (in_bucket.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") == F.col("_need"))
-           .select("rep", "_bstar", F.struct("_h", *key_cols).alias("_last")))
-
-    reps_full = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
-    scored = (reps_full.join(F.broadcast(cut), "rep", "left")
-              .withColumn("_h", F.when(F.col("rep") > 0, h))
-              .withColumn("_b", F.when(F.col("rep") > 0, bucket)))
-    first = F.when(F.col("rep") == 0, F.col(label) == first_label).otherwise(
-        (F.col("_b") < F.col("_bstar"))
-        | ((F.col("_b") == F.col("_bstar")) & (F.struct("_h", *key_cols) <= F.col("_last"))))
-    scored = scored.withColumn("_first", first)
-    if statistic is diff_of_means and 0 < n0 < n:
-        # Group sizes are n0 and n - n0 in every replicate, and feature totals
-        # are fixed, so the first-group sum alone gives both means.
+    ranked = in_bucket.withColumn("_rn", F.row_number().over(order))
+
+    if fast:
         n1 = n - n0
-        sums = scored.groupBy("rep").agg(
-            *[F.sum(F.when(F.col("_first"), F.col(f).cast("double"))).alias(f) for f in features])
-        wide = sums.select("rep", *[(F.coalesce(F.col(f), F.lit(0.0)) / n0
-                                     - (F.lit(float(sizes[f] or 0.0)) - F.coalesce(F.col(f), F.lit(0.0))) / n1)
+        # Boundary rows are few (about one bucket per replicate): fetch their
+        # features from the base by key instead of replicating all features.
+        firsts = (ranked.filter(F.col("_rn") <= F.col("_need"))
+                  .select("rep", *key_cols, *[f"_pre_{f}" for f in features])
+                  .join(base.select(*key_cols, *features), key_cols)
+                  .groupBy("rep").agg(*[(F.first(f"_pre_{f}") + F.sum(F.col(f).cast("double"))).alias(f)
+                                        for f in features]))
+        observed = [float(sizes[f"o_{f}"] or 0.0) for f in features]
+        rep0 = df.sparkSession.createDataFrame([(0, *observed)], ["rep", *features])
+        sums = firsts.unionByName(rep0.select(F.col("rep").cast("int").alias("rep"),
+                                              *[F.col(f).cast("double") for f in features]))
+        wide = sums.select("rep", *[(F.col(f) / n0 - (F.lit(float(sizes[f"t_{f}"] or 0.0)) - F.col(f)) / n1)
                                     .alias(f) for f in features])
     else:
-        wide = scored.groupBy("rep").agg(
+        cut = (ranked.filter(F.col("_rn") == F.col("_need"))
+               .select("rep", "_bstar", F.struct("_h", *key_cols).alias("_last")))
+        reps_full = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
+        scored = (reps_full.join(F.broadcast(cut), "rep", "left")
+                  .withColumn("_h", F.when(F.col("rep") > 0, h))
+                  .withColumn("_b", F.when(F.col("rep") > 0, bucket)))
+        first = F.when(F.col("rep") == 0, is_first).otherwise(
+            (F.col("_b") < F.col("_bstar"))
+            | ((F.col("_b") == F.col("_bstar")) & (F.struct("_h", *key_cols) <= F.col("_last"))))
+        wide = scored.withColumn("_first", first).groupBy("rep").agg(
             *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
     body = ", ".join(f"'{f}', `{f}`" for f in features)
     return wide.selectExpr("rep", f"stack({len(features)}, {body}) AS (feature, stat)")
