@@ -51,15 +51,12 @@ def fit_models(train: DataFrame, settings: ModelSettings | None = None) -> dict:
     n = data.count()
     # scikit-learn minimises 1/2|w|^2 + C * sum(loss); Spark mean(loss) + reg/2 |w|^2.
     lr = LogisticRegression(featuresCol="_lr_vec", labelCol="label", regParam=1.0 / (s.logistic_c * n),
-                            elasticNetParam=0.0, standardization=False, maxIter=100,
-                            probabilityCol="_p_lr", rawPredictionCol="_r_lr", predictionCol="_y_lr")
-    g1 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed,
-                       probabilityCol="_p_g1", rawPredictionCol="_r_g1", predictionCol="_y_g1", **s.gbt_leafwise)
-    g2 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed,
-                       probabilityCol="_p_g2", rawPredictionCol="_r_g2", predictionCol="_y_g2", **s.gbt_depthwise)
-    rf = RandomForestClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed,
-                                probabilityCol="_p_rf", rawPredictionCol="_r_rf", predictionCol="_y_rf",
-                                **s.forest)
+                            elasticNetParam=0.0, standardization=False, maxIter=100)
+    g1 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.gbt_leafwise)
+    g2 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.gbt_depthwise)
+    rf = RandomForestClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.forest)
+    for est, tag in ((lr, "lr"), (g1, "g1"), (g2, "g2"), (rf, "rf")):
+        est.setProbabilityCol(f"_p_{tag}").setRawPredictionCol(f"_r_{tag}").setPredictionCol(f"_y_{tag}")
     return {"logistic": lr.fit(data), "gbt_leafwise": g1.fit(data), "gbt_depthwise": g2.fit(data),
             "forest": rf.fit(data)}
 
