@@ -7,7 +7,8 @@ groups by size:
 
 * groups with at most ``heavy_rows`` rows use the window directly;
 * heavier groups (at most total_rows / heavy_rows of them, so their key
-  list has a proven size bound and is broadcast) are range-partitioned on
+  list has a proven size bound; it is collected and broadcast) are
+  range-partitioned on
   (group, order), written once to the checkpoint folder with partition ids
   and in-partition positions, numbered inside each (group, partition) block,
   and shifted by the row counts of the group's earlier blocks. The first row
@@ -36,15 +37,24 @@ def number_within(df: DataFrame, group_cols: list[str], order_cols: list[str], o
     """Add ``out`` = 1-based row number per group in ``order_cols`` order
     (which must be a total order within the group), and for each
     ``prev[src] = dst`` the value of ``src`` on the previous row (null on the
-    first row of the group)."""
+    first row of the group).
+
+    The heavy keys are collected first: there are at most N / heavy_rows of
+    them. With none (the usual case) the plan is one window and keeps the
+    window's hash partitioning.
+    """
     prev = prev or {}
     limit = heavy_threshold(df, heavy_rows)
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    window_cols = [F.row_number().over(w).cast("long").alias(out),
+                   *[F.lag(s).over(w).alias(d) for s, d in prev.items()]]
     heavy = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rows"))
              .filter(F.col("_rows") > limit).select(*group_cols))
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    normal = df.join(F.broadcast(heavy), group_cols, "left_anti")
-    normal = normal.select("*", F.row_number().over(w).cast("long").alias(out),
-                           *[F.lag(s).over(w).alias(d) for s, d in prev.items()])
+    keys = heavy.collect()
+    if not keys:
+        return df.select("*", *window_cols)
+    heavy = df.sparkSession.createDataFrame(keys, heavy.schema)
+    normal = df.join(F.broadcast(heavy), group_cols, "left_anti").select("*", *window_cols)
     hot = df.join(F.broadcast(heavy), group_cols, "left_semi")
     return normal.unionByName(_number_heavy(hot, group_cols, order_cols, out, prev))
 

@@ -11,10 +11,11 @@ and is the tie-break the reference takes from row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketlab.operators.sequence import number_within
 from basketlab.sources.tables import read_table
 
 RAW_SCHEMA = T.StructType([
@@ -53,7 +54,8 @@ def conform(df: DataFrame) -> DataFrame:
 def invoice_lines_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
     """Invoice lines from lineitem, orders, part, customer and nation.
 
-    Plan shape: lineitem is numbered per order (hash partitioned by order key)
+    Plan shape: lineitem is numbered per order (``number_within``: a window
+    hash-partitioned by order key, with the split path for a heavy order)
     and joined to orders on the same key, so that window and join share one
     exchange. Orders are enriched with customer and nation first (orders are a
     quarter of lineitem), nation is the fixed 25-row dimension and is
@@ -63,9 +65,8 @@ def invoice_lines_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
     li = read_table(spark, base_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_extendedprice", "l_returnflag", "l_linestatus"])
-    line_order = Window.partitionBy("l_orderkey").orderBy(
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    li = li.withColumn("line_no", F.row_number().over(line_order).cast("long"))
+    li = number_within(li, ["l_orderkey"],
+                       ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "line_no")
 
     nation = read_table(spark, base_dir, "nation", ["n_nationkey", "n_name"])
     customer = read_table(spark, base_dir, "customer", ["c_custkey", "c_nationkey"])
