@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.functions.columns import ratio
 
-# Largest product dimension the 'all' policy accepts: every held-out order is
-# paired with every product, so the output is orders x products rows.
+# Largest product dimension the 'all' policy broadcasts.
 MAX_PRODUCTS_FOR_ALL = 100_000
 
 ORDER_FEATURES = ["order_hour_of_day", "order_dow", "days_since_prior_order"]
@@ -50,21 +49,21 @@ def candidates(orders: DataFrame, products: DataFrame, eval_set: str, policy: st
     """(held-out order, product) pairs to score.
 
     policy='all' is the reference's rule: every product for every held-out
-    order. Its output is orders x products rows, so it runs only after the
-    product dimension is counted and found within ``max_products``; that
-    count is the bound that lets the dimension be broadcast.
+    order, so the output is orders x products rows by definition. The
+    product dimension is counted first; within ``max_products`` it is
+    broadcast (that count is its size bound), above it both sides stay
+    distributed and Spark pairs their partitions. No product is dropped.
 
     policy='bought' pairs each held-out order with the products its customer
     bought in prior orders: an equi-join on user_id, linear in the
-    user x product table, for catalogues too big for 'all'.
+    user x product table. It is the policy for large catalogues.
     """
     held = heldout_orders(orders, eval_set)
     if policy == "all":
         dim = products.select("product_id")
-        n = dim.count()
-        if n > max_products:
-            raise ValueError(f"{n} products exceed max_products={max_products}; use policy='bought'")
-        return held.crossJoin(F.broadcast(dim))
+        if dim.count() <= max_products:
+            return held.crossJoin(F.broadcast(dim))
+        return held.crossJoin(dim)
     if policy == "bought":
         if up_features is None:
             raise ValueError("policy='bought' needs the user x product table")

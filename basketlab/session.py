@@ -19,6 +19,19 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (pass as ``extra`` or in spark-defaults):
+# many shuffle partitions that AQE coalesces to ~256 MB, skew splitting on,
+# 256 MB input splits.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app: str = "basketlab", extra: dict | None = None) -> SparkSession:
     """Session for local runs and tests. On a cluster, pass no master."""
