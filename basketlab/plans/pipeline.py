@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.operators import candidates as C
 from basketlab.operators import cleanse, features, orders as O
-from basketlab.session import materialize
+from basketlab.session import delete_paths, materialize
 from basketlab.sources.raw import invoice_lines_from_tables
 
 # Deny list used with the star-schema test tables (their codes are product
@@ -32,6 +32,7 @@ class RetailPipeline:
                  checkpoint_stages: bool = True):
         self.raw = raw
         self.checkpoint_stages = checkpoint_stages
+        self.written: list[str] = []
         self.mode = mode
         self.deny_codes = K.NON_PRODUCT_CODES if codes is None else codes
         self.share = share
@@ -44,12 +45,22 @@ class RetailPipeline:
         map to are ingested (written once) before any step reads them."""
         kw.setdefault("codes", TEST_TABLE_CODES)
         raw = invoice_lines_from_tables(spark, base_dir)
+        written: list[str] = []
         if kw.get("checkpoint_stages", True):
-            raw = materialize(raw, "invoice_lines")
-        return cls(raw, **kw)
+            raw = materialize(raw, "invoice_lines", written)
+        pipe = cls(raw, **kw)
+        pipe.written.extend(written)
+        return pipe
 
     def _stage(self, df: DataFrame, label: str) -> DataFrame:
-        return materialize(df, label) if self.checkpoint_stages else df
+        return materialize(df, label, self.written) if self.checkpoint_stages else df
+
+    def release(self) -> None:
+        """Delete the stage tables this pipeline wrote. DataFrames taken
+        from it must not be used afterwards."""
+        delete_paths(self.raw.sparkSession, self.written)
+        self.__dict__.update({k: None for k in list(self.__dict__) if k not in
+                              ("raw", "mode", "deny_codes", "share", "seed", "policy", "checkpoint_stages", "written")})
 
     # --- wrangling -------------------------------------------------------
     @cached_property

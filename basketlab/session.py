@@ -71,7 +71,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, label: str = "stage"):
+_WRITTEN: list[str] = []
+
+
+def materialize(df, label: str = "stage", written: list[str] | None = None):
     """Cut lineage: write ``df`` as Parquet under the checkpoint folder and
     read it back.
 
@@ -79,10 +82,30 @@ def materialize(df, label: str = "stage"):
     plans start from the written files (with column pruning and filter
     pushdown) instead of re-planning and recomputing the whole lineage. The
     folder is the cluster's shared checkpoint folder, so a lost executor
-    never loses a finished stage.
+    never loses a finished stage. The path is appended to ``written`` so the
+    owner can delete it with ``delete_paths``.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
+    if written is not None:
+        written.append(path)
     return spark.read.parquet(path)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written stage tables (recursively) through Hadoop's FileSystem."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    paths.clear()
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table ``materialize`` wrote in this process (stage,
+    index and heavy-group tables). Frames built on them become unusable."""
+    delete_paths(spark, _WRITTEN)

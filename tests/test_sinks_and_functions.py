@@ -37,3 +37,13 @@ def test_basket_f1_array_form(spark):
                                "pred array<long>, truth array<long>")
     got = [r.f1 for r in df.select(basket_f1("pred", "truth").alias("f1")).collect()]
     assert got == [0.5, 0.0, 1.0]
+
+
+def test_release_deletes_stage_tables(spark):
+    import os
+    p = RetailPipeline(lines_from_rows(spark, ROWS), codes=["POST"], share=1.0)
+    p.order_products
+    paths = list(p.written)
+    assert paths and all(os.path.exists(x.replace("file:", "")) for x in paths)
+    p.release()
+    assert not p.written and not any(os.path.exists(x.replace("file:", "")) for x in paths)
