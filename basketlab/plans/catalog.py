@@ -17,7 +17,6 @@ from basketlab import constants as K
 from basketlab.operators import cleanse, evaluate as E, orders as O
 from basketlab.plans import eda, models, stats
 from basketlab.plans.pipeline import RetailPipeline
-from basketlab.sources.raw import invoice_lines_from_tables
 
 # Countries compared in Q9 (names as they occur in the test tables).
 Q9_COUNTRIES = ["NATION_0", "NATION_1", "NATION_2"]
@@ -77,7 +76,7 @@ def _pipe(spark: SparkSession, base: str) -> RetailPipeline:
 
 
 def _netted(spark, base, mode):
-    raw = invoice_lines_from_tables(spark, base)
+    raw = _pipe(spark, base).raw  # the ingested invoice lines
     return cleanse.net_cancellations(cleanse.drop_anonymous(raw), mode)
 
 
