@@ -327,9 +327,7 @@ def q9_reorder_ratio_histogram(spark, base):
 
 def q10_corr(spark, base):
     f = _pipe(spark, base).train_frame
-    tree = stats.corr_long(f, K.TREE_FEATURES).withColumn("feature_set", F.lit("tree"))
-    lgr = stats.corr_long(f, K.LOGISTIC_FEATURES).withColumn("feature_set", F.lit("logistic"))
-    return present(tree.unionByName(lgr))
+    return present(stats.corr_sets(f, {"tree": K.TREE_FEATURES, "logistic": K.LOGISTIC_FEATURES}))
 
 
 def q_corr_pairs(spark, base):

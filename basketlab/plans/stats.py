@@ -16,22 +16,40 @@ from basketlab.functions.columns import mix_hash
 Statistic = Callable[[Column, Column], Column]
 
 
-def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
-    """Pearson correlation of every ordered feature pair, long form.
+def corr_matrix(df: DataFrame, features: list[str]) -> dict[tuple[str, str], float | None]:
+    """Pearson correlation of every feature pair, as {(a, b): r}.
 
     ``pyspark.ml.stat.Correlation`` over one assembled vector: a mean pass,
     then a centred co-moment pass with ``treeAggregate`` (numerically stable,
     partial sums merged in a tree). The result is the k x k matrix, bounded
-    by the number of features, turned into rows. A constant column gives null
-    (pandas: NaN), including its diagonal entry.
+    by the number of features. A constant column gives None (pandas: NaN),
+    including its diagonal entry.
     """
     vec = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="keep").transform(
         df.select(*[F.col(c).cast("double").alias(c) for c in features]))
     m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
     spread = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in features]).head()
-    rows = [(a, b, None if math.isnan(m[i][j]) or not spread[a] else float(m[i][j]))
-            for i, a in enumerate(features) for j, b in enumerate(features)]
-    return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    return {(a, b): None if math.isnan(m[i][j]) or not spread[a] else float(m[i][j])
+            for i, a in enumerate(features) for j, b in enumerate(features)}
+
+
+def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
+    """Correlation of every ordered feature pair, long form."""
+    return corr_sets(df, {None: features})
+
+
+def corr_sets(df: DataFrame, sets: dict) -> DataFrame:
+    """Correlations for several feature lists from one matrix over their
+    union (a pair's correlation does not depend on the other columns). With
+    named sets the rows carry ``feature_set``."""
+    union = list(dict.fromkeys(f for feats in sets.values() for f in feats))
+    m = corr_matrix(df, union)
+    if list(sets) == [None]:
+        rows = [(a, b, m[(a, b)]) for a in sets[None] for b in sets[None]]
+        return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
+    rows = [(a, b, m[(a, b)], name) for name, feats in sets.items() for a in feats for b in feats]
+    return df.sparkSession.createDataFrame(
+        rows, "feature_a string, feature_b string, corr double, feature_set string")
 
 
 def diff_of_means(value: Column, in_first: Column) -> Column:
