@@ -101,3 +101,47 @@ def attach_features(cands: DataFrame, users: DataFrame, products: DataFrame, up:
     )
     keys = ["order_id", "product_id"] + (["labels"] if with_labels else []) + ["user_id"]
     return df.select(*keys, *K.ALL_FEATURES).na.fill(0, K.ALL_FEATURES)
+
+
+def feature_frame(orders: DataFrame, users: DataFrame, product_features: DataFrame, up: DataFrame,
+                  order_products: DataFrame, eval_set: str, policy: str = "all",
+                  with_labels: bool = False, max_products: int = MAX_PRODUCTS_FOR_ALL) -> DataFrame:
+    """Q15: candidates of one held-out set with all features (and labels).
+
+    Same result as candidates -> label_candidates -> attach_features, with a
+    plan that moves the per-user and per-product lookups below the pair
+    expansion: user features are joined to the held-out orders (one row per
+    customer) and product features ride on the product dimension. The pair
+    table then meets only user x product data, and both those joins (user x
+    product features, labels) use the key (user_id, product_id): each
+    customer has one held-out order per set, so that key identifies a
+    candidate, and one hash partitioning serves both joins.
+    """
+    u = users.select("user_id", *[F.col(a).alias(b) for a, b in USER_FEATURE_MAP])
+    p = product_features.select("product_id", *[F.col(a).alias(b) for a, b in PRODUCT_FEATURE_MAP])
+    x = up.select("user_id", "product_id", F.col("nb_orders").alias("UP_orders"),
+                  F.col("up_total_quantity").alias("UP_total_quantity"),
+                  F.col("up_first_order_number").alias("_up_first"))
+    held = heldout_orders(orders, eval_set).join(u, "user_id", "left")
+    if policy == "all":
+        dim = p if p.count() > max_products else F.broadcast(p)
+        df = held.crossJoin(dim).join(x, ["user_id", "product_id"], "left")
+    elif policy == "bought":
+        df = held.join(x, "user_id").join(p, "product_id", "left")
+    else:
+        raise ValueError(f"unknown candidate policy {policy!r}")
+    if with_labels:
+        truth = (order_products.filter(F.col("eval_set") == eval_set)
+                 .select("user_id", "product_id", F.lit(1).cast("long").alias("labels")))
+        df = df.join(truth, ["user_id", "product_id"], "left").na.fill(0, ["labels"])
+    df = df.select(
+        "*",
+        ratio(F.col("days_since_prior_order"),
+              F.col("user_average_days_between_orders") + K.DAYS_RATIO_SMOOTHING).alias("days_since_ratio"),
+        ratio("UP_orders", "user_total_orders").alias("UP_orders_ratio"),
+        ratio("UP_orders", "user_total_orders").alias("UP_reorder_rate"),
+        ratio(F.col("UP_orders"), F.col("user_total_orders") - F.col("_up_first") + 1)
+        .alias("UP_order_rate_since_first_order"),
+    )
+    keys = ["order_id", "product_id"] + (["labels"] if with_labels else []) + ["user_id"]
+    return df.select(*keys, *K.ALL_FEATURES).na.fill(0, K.ALL_FEATURES)

@@ -124,11 +124,9 @@ class RetailPipeline:
 
     def feature_frame(self, eval_set: str, policy: str | None = None) -> DataFrame:
         """Q15: candidates of one held-out set with features (and labels for 'train')."""
-        cands = self.candidates(eval_set, policy)
-        with_labels = eval_set == "train"
-        if with_labels:
-            cands = C.label_candidates(cands, self.order_products, eval_set)
-        return C.attach_features(cands, self.user_features, self.product_features, self.up_features, with_labels)
+        return C.feature_frame(self.orders, self.user_features, self.product_features, self.up_features,
+                               self.order_products, eval_set, policy or self.policy,
+                               with_labels=eval_set == "train")
 
     @cached_property
     def train_frame(self) -> DataFrame:
