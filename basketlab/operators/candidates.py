@@ -82,14 +82,24 @@ def attach_features(cands: DataFrame, users: DataFrame, products: DataFrame, up:
                     with_labels: bool) -> DataFrame:
     """C11: user, order, product and user x product features, with the
     reference's derived ratios and its null -> 0 fill."""
+    u, p, x = _lookups(users, products, up)
+    df = (cands.join(u, "user_id", "left")
+          .join(p, "product_id", "left")
+          .join(x, ["user_id", "product_id"], "left"))
+    return _finish(df, with_labels)
+
+
+def _lookups(users: DataFrame, product_features: DataFrame, up: DataFrame):
     u = users.select("user_id", *[F.col(a).alias(b) for a, b in USER_FEATURE_MAP])
-    p = products.select("product_id", *[F.col(a).alias(b) for a, b in PRODUCT_FEATURE_MAP])
+    p = product_features.select("product_id", *[F.col(a).alias(b) for a, b in PRODUCT_FEATURE_MAP])
     x = up.select("user_id", "product_id", F.col("nb_orders").alias("UP_orders"),
                   F.col("up_total_quantity").alias("UP_total_quantity"),
                   F.col("up_first_order_number").alias("_up_first"))
-    df = (cands.join(u, "user_id", "left")
-          .join(p, "product_id", "left")
-          .join(x, ["user_id", "product_id"], "left"))
+    return u, p, x
+
+
+def _finish(df: DataFrame, with_labels: bool) -> DataFrame:
+    """The reference's derived ratios, its column order and its null -> 0 fill."""
     df = df.select(
         "*",
         ratio(F.col("days_since_prior_order"),
@@ -117,11 +127,7 @@ def feature_frame(orders: DataFrame, users: DataFrame, product_features: DataFra
     customer has one held-out order per set, so that key identifies a
     candidate, and one hash partitioning serves both joins.
     """
-    u = users.select("user_id", *[F.col(a).alias(b) for a, b in USER_FEATURE_MAP])
-    p = product_features.select("product_id", *[F.col(a).alias(b) for a, b in PRODUCT_FEATURE_MAP])
-    x = up.select("user_id", "product_id", F.col("nb_orders").alias("UP_orders"),
-                  F.col("up_total_quantity").alias("UP_total_quantity"),
-                  F.col("up_first_order_number").alias("_up_first"))
+    u, p, x = _lookups(users, product_features, up)
     held = heldout_orders(orders, eval_set).join(u, "user_id", "left")
     if policy == "all":
         dim = p if p.count() > max_products else F.broadcast(p)
@@ -134,14 +140,4 @@ def feature_frame(orders: DataFrame, users: DataFrame, product_features: DataFra
         truth = (order_products.filter(F.col("eval_set") == eval_set)
                  .select("user_id", "product_id", F.lit(1).cast("long").alias("labels")))
         df = df.join(truth, ["user_id", "product_id"], "left").na.fill(0, ["labels"])
-    df = df.select(
-        "*",
-        ratio(F.col("days_since_prior_order"),
-              F.col("user_average_days_between_orders") + K.DAYS_RATIO_SMOOTHING).alias("days_since_ratio"),
-        ratio("UP_orders", "user_total_orders").alias("UP_orders_ratio"),
-        ratio("UP_orders", "user_total_orders").alias("UP_reorder_rate"),
-        ratio(F.col("UP_orders"), F.col("user_total_orders") - F.col("_up_first") + 1)
-        .alias("UP_order_rate_since_first_order"),
-    )
-    keys = ["order_id", "product_id"] + (["labels"] if with_labels else []) + ["user_id"]
-    return df.select(*keys, *K.ALL_FEATURES).na.fill(0, K.ALL_FEATURES)
+    return _finish(df, with_labels)

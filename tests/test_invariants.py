@@ -50,3 +50,17 @@ def test_order_independence(spark, sf_small):
     for name in ("clean", "orders", "order_products", "product_features", "up_features"):
         a, b = getattr(base, name), getattr(q, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_attach_features_path_equals_feature_frame(spark, sf_small):
+    """candidates -> label_candidates -> attach_features gives the same frame
+    as the pipeline's feature_frame (which joins below the pair expansion)."""
+    from basketlab.operators import candidates as C
+    p = _pipe(spark, sf_small)
+    for es, labelled in (("train", True), ("test", False)):
+        cands = C.candidates(p.orders, p.products, es)
+        if labelled:
+            cands = C.label_candidates(cands, p.order_products, es)
+        a = C.attach_features(cands, p.user_features, p.product_features, p.up_features, labelled)
+        b = p.feature_frame(es)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
