@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
+from basketlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op6_mixing": op6_mixing,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL = {
