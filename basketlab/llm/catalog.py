@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
+from basketlab.llm.neardup import op2_near_duplicates
 from basketlab.llm.quality import op10_quality
 from basketlab.llm.secrets import op3_secrets
 from basketlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op6_mixing": op6_mixing,
     "op9_toxicity": op9_toxicity,
