@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basketlab.llm.decontaminate import ORACLE_SQL as DECONTAMINATE_SQL, op8_decontaminate
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
 from basketlab.llm.neardup import op2_near_duplicates
 from basketlab.llm.quality import op10_quality
@@ -12,10 +13,12 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op6_mixing": op6_mixing,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }
 
 SQL = {
+    "op8_decontaminate": DECONTAMINATE_SQL,
     "op6_mixing": MIXING_SQL,
 }
