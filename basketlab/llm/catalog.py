@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from basketlab.llm.annsearch import op1_neighbours
 from basketlab.llm.decontaminate import ORACLE_SQL as DECONTAMINATE_SQL, op8_decontaminate
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
 from basketlab.llm.neardup import op2_near_duplicates
@@ -10,6 +11,7 @@ from basketlab.llm.secrets import op3_secrets
 from basketlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op6_mixing": op6_mixing,
