@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
+ROW_BYTES = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -58,11 +59,12 @@ def _power(kind: str, n: int) -> np.ndarray:
 
 def row_blocks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices whose ``column`` holds at most ``max_bytes``
-    bytes each (one longer text makes a slice of its own)."""
+    bytes each, a row counting ROW_BYTES more than its text (one longer text
+    makes a slice of its own)."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes.astype(np.int64))
+    ends = np.cumsum(sizes.astype(np.int64) + ROW_BYTES)
     start = 0
     while start < len(ends):
         before = ends[start - 1] if start else 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from basketlab.llm.annsearch import op1_neighbours
+from basketlab.llm.ctw import op7_context_tree
 from basketlab.llm.decontaminate import ORACLE_SQL as DECONTAMINATE_SQL, op8_decontaminate
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
 from basketlab.llm.neardup import op2_near_duplicates
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
     "op6_mixing": op6_mixing,
+    "op7_context_tree": op7_context_tree,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,

@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import row_blocks
+from basketlab.llm.arrays import ROW_BYTES, row_blocks
 from basketlab.session import materialize
 
 CHUNK_SCHEMA = "chunk long, rows long, bytes long, body binary"
@@ -31,11 +31,12 @@ def unpack(body: bytes) -> pa.Table:
 
 def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 max_bytes: int = 4 << 20) -> DataFrame:
-    """``docs`` as a written table of chunks: each row holds about
-    ``max_bytes`` of whole texts (a longer text is a chunk of its own) as one
-    compressed Arrow stream with columns ``id`` and ``text``. A document is
-    named by (chunk, position in it), also when ids repeat or are null. The
-    table is written once, so every later pass sees the same chunks."""
+    """``docs`` as a written table of chunks: each row holds at most
+    ``max_bytes`` of whole texts (ROW_BYTES more counted for each; a longer
+    text is a chunk of its own) as one compressed Arrow stream with columns
+    ``id`` and ``text``. A document is named by (chunk, position in it), also
+    when ids repeat or are null. The table is written once, so every later
+    pass sees the same chunks."""
 
     def build(batches):
         from pyspark import TaskContext
@@ -50,7 +51,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         for b in batches:
             for x in row_blocks(b, "text", max_bytes):
-                n = pc.sum(pc.binary_length(x.column("text"))).as_py() or 0
+                n = (pc.sum(pc.binary_length(x.column("text"))).as_py() or 0) + ROW_BYTES * x.num_rows
                 if held and size + n > max_bytes:
                     yield emit()
                     seq, held, size = seq + 1, [], 0
