@@ -119,6 +119,17 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix(h + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
+def block_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """``range_hashes`` of consecutive ranges, with prefix sums over about
+    ``block`` bytes at a time."""
+    out = np.empty(len(starts), U)
+    cuts = np.append(np.flatnonzero(np.diff(starts // block, prepend=-1)), len(starts))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        lo = starts[a]
+        out[a:b] = range_hashes(prefix_sums(raw[lo:ends[b - 1]]), starts[a:b] - lo, ends[a:b] - lo)
+    return out
+
+
 def word_hashes(raw, offsets, separator: np.ndarray = SPACE):
     """(hash, row) of each word in order."""
     s, e, row = words(raw, offsets, separator)

@@ -36,14 +36,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import SPACE, U, flat, prefix_sums, range_hashes, words
+from basketlab.llm.arrays import SPACE, U, block_hashes, flat, words
 from basketlab.llm.store import binary_arrays, chunk_table, read, to_arrays, unpack
 from basketlab.session import materialize
 
-DEPTH = 4
-CHUNK_BYTES = 8 << 20
+DEPTH = 5
+CHUNK_BYTES = 12 << 20
 SHARD_BYTES = 32 << 20
-DOC_BITS = 24
+BLOCK_BYTES = 2 << 20
 END, BLANK = 10, 32
 HALF = np.log(0.5)
 MESSAGE = "kind string, shard int, chunk long, body binary"
@@ -55,7 +55,7 @@ def byte_sequences(texts: pa.Array):
     raw, offs = flat(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
     s, e, row = words(raw, offs, SPACE)
     n = len(offs) - 1
-    h = range_hashes(prefix_sums(raw), s, e) >> U(1)
+    h = block_hashes(raw, s, e) >> U(1)
     first = np.searchsorted(row, np.arange(n + 1))
     empty = np.flatnonzero(np.diff(first) == 0)          # one word of no bytes holds the end
     order = np.argsort(np.append(row, empty), kind="stable")
@@ -91,12 +91,30 @@ def _trained(ids: pa.Array, modulus: int, held: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if x is None else str(x).encode()) % modulus != held for x in ids.to_pylist()], bool)
 
 
-def _gram_runs(data, offs, depth):
-    """Sorted (gram, document) pairs, packed, and where each gram begins."""
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs)).astype(U)
-    packed = np.sort(grams(data, offs, depth) << U(DOC_BITS) | doc)
-    gram = packed >> U(DOC_BITS)
-    return packed, np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[:len(gram)])
+def _gram_blocks(data, offs, depth):
+    """Blocks of documents of a chunk: (first document, sorted grams and
+    documents packed in one integer, where each gram begins, the distinct
+    grams, bits of the document). Blocks are bounded in bytes (unless one
+    document is longer) and by the bits that the gram leaves free."""
+    bits = 64 - 8 * (depth + 1)
+    n, at = len(offs) - 1, 0
+    while at < n:
+        to = min(at + (1 << bits), max(at + 1, int(np.searchsorted(offs, offs[at] + BLOCK_BYTES, side="right")) - 1))
+        part = offs[at:to + 1] - offs[at]
+        doc = np.repeat(np.arange(to - at), np.diff(part)).astype(U)
+        packed = np.sort(grams(data[offs[at]:offs[to]], part, depth) << U(bits) | doc)
+        gram = packed >> U(bits)
+        starts = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])[:len(gram)])
+        yield at, packed, starts, gram[starts], bits
+        at = to
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    if not keys:
+        return np.zeros(0, U), np.zeros(0)
+    u, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return u, np.bincount(at, np.concatenate(counts), minlength=len(u))
 
 
 def _deltas(keys: np.ndarray) -> np.ndarray:
@@ -107,10 +125,11 @@ def ask(chunk: int, texts: pa.Array, trained: np.ndarray, shards: int, depth: in
     """Messages of one chunk: its distinct grams and words with training
     counts, by shard."""
     data, offs, h, first = byte_sequences(texts)
-    packed, starts = _gram_runs(data, offs, depth)
-    gram = packed[starts] >> U(DOC_BITS)
-    seen = trained[(packed & U((1 << DOC_BITS) - 1)).astype(np.int64)].astype(np.int64)
-    n = np.add.reduceat(seen, starts) if len(starts) else np.zeros(0, np.int64)
+    keys, counts = [], []
+    for at, packed, starts, found, bits in _gram_blocks(data, offs, depth):
+        keys.append(found)
+        counts.append(np.add.reduceat(trained[at + (packed & U((1 << bits) - 1)).astype(np.int64)].astype(float), starts))
+    gram, n = _merged(keys, counts)
     to = shard_of(gram, shards, depth)
     word_train = np.repeat(trained, np.diff(first)).astype(U)
     both = np.sort(h << U(1) | word_train)
@@ -235,9 +254,7 @@ def _keys(body: bytes) -> tuple[np.ndarray, np.ndarray]:
 def _summed(bodies) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of all bodies and their summed counts."""
     pairs = [_keys(b) for b in bodies]
-    key = np.concatenate([k for k, _ in pairs])
-    u, at = np.unique(key, return_inverse=True)
-    return u, np.bincount(at, np.concatenate([n for _, n in pairs]).astype(float), minlength=len(u))
+    return _merged([k for k, _ in pairs], [n for _, n in pairs])
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str = "doc_id",
@@ -313,8 +330,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
             return _result.empty_table()
         t = unpack(chunks.column("body")[0].as_py())
         data, offs, h, first = byte_sequences(t.column("text").combine_chunks())
-        packed, starts = _gram_runs(data, offs, DEPTH)
-        gram = packed[starts] >> U(DOC_BITS)
+        gram = np.unique(np.concatenate([b[3] for b in _gram_blocks(data, offs, DEPTH)]))
         word, at = np.unique(h, return_inverse=True)
         p, c = np.zeros(len(gram)), np.zeros(len(word), np.int64)
         to, wto = shard_of(gram, shards), (word % U(shards)).astype(np.int64)
@@ -325,8 +341,11 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
             else:
                 c[wto == s] = x
         n = len(offs) - 1
-        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(packed))))
-        doc = (packed & U((1 << DOC_BITS) - 1)).astype(np.int64)
+        total = np.zeros(n)
+        for at_doc, packed, starts, found, bits in _gram_blocks(data, offs, DEPTH):
+            value = np.repeat(p[np.searchsorted(gram, found)], np.diff(np.append(starts, len(packed))))
+            part = np.bincount((packed & U((1 << bits) - 1)).astype(np.int64), value)
+            total[at_doc:at_doc + len(part)] = part
         row = np.repeat(np.arange(n), np.diff(first))
         c = c[at] if len(at) else np.zeros(0, np.int64)
         trained = _trained(t.column("id"), modulus, held)
@@ -334,7 +353,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
             "id": t.column("id"), "held_out": ~trained, "n_bytes": np.diff(offs), "n_words": np.diff(first),
             "known_words": np.bincount(row[c > 0], minlength=n).astype(np.int64),
             "word_sum": np.bincount(row, np.log10(c + 1.0), minlength=n),
-            "score": np.bincount(doc, p[run], minlength=n)}, schema=_result)
+            "score": total}, schema=_result)
 
     _result = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_bytes", pa.int64()), ("n_words", pa.int64()),
                          ("known_words", pa.int64()), ("word_sum", pa.float64()), ("score", pa.float64())])
