@@ -7,6 +7,7 @@ from basketlab.llm.ctw import op7_context_tree
 from basketlab.llm.decontaminate import ORACLE_SQL as DECONTAMINATE_SQL, op8_decontaminate
 from basketlab.llm.mixing import ORACLE_SQL as MIXING_SQL, op6_mixing
 from basketlab.llm.neardup import op2_near_duplicates
+from basketlab.llm.paragraphs import op5_paragraphs
 from basketlab.llm.quality import op10_quality
 from basketlab.llm.secrets import op3_secrets
 from basketlab.llm.toxicity import op9_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
+    "op5_paragraphs": op5_paragraphs,
     "op6_mixing": op6_mixing,
     "op7_context_tree": op7_context_tree,
     "op8_decontaminate": op8_decontaminate,
