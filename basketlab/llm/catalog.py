@@ -10,12 +10,14 @@ from basketlab.llm.neardup import op2_near_duplicates
 from basketlab.llm.paragraphs import op5_paragraphs
 from basketlab.llm.quality import op10_quality
 from basketlab.llm.secrets import op3_secrets
+from basketlab.llm.substring import op4_suffix_array
 from basketlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_neighbours": op1_neighbours,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secrets": op3_secrets,
+    "op4_suffix_array": op4_suffix_array,
     "op5_paragraphs": op5_paragraphs,
     "op6_mixing": op6_mixing,
     "op7_context_tree": op7_context_tree,
