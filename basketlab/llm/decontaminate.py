@@ -12,10 +12,12 @@ item value must always be replaced by the same document value. So a question
 with other numbers and names is caught, and a text that merely has the same
 shape in places is not.
 
-Only DataFrame functions are used. The benchmark's windows are broadcast while
-they are at most BROADCAST_WINDOWS rows (about 100 MB) and joined by a
-shuffle beyond that; the result is the same. Document texts are joined again
-only for documents that match a window with slots.
+Only DataFrame functions are used. Canonicalising costs far more than finding
+words, so documents are first reduced to those that can match: MIN_LITERAL of
+WINDOW tokens always hold two neighbouring literal tokens, and the longest
+such pair is the window's anchor. One pass over all texts joins their pairs of
+neighbouring words with the anchors (a small table, broadcast by its size), and
+only the documents found are canonicalised.
 
 Defined results: null texts count as empty and match nothing; items that
 cannot fill one window with MIN_LITERAL literal tokens match nothing; rows
@@ -34,13 +36,13 @@ from basketlab.session import materialize
 
 WINDOW = 8
 MIN_LITERAL = 5
-BROADCAST_WINDOWS = 2_000_000
 
 # Words that count as units after a number.
 UNITS = ["km", "m", "cm", "mm", "mi", "ft", "in", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "ms", "min", "h",
          "hr", "hrs", "hours", "minutes", "seconds", "days", "years", "percent", "usd", "eur", "dollars", "euros",
          "mph", "kmh", "kb", "mb", "gb"]
-TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+|[.!?\n]"
+WORD = r"\p{N}+(?:[.,]\p{N}+)*|\p{L}+"
+TOKEN = WORD + r"|[.!?\n]"
 NUM, UNIT, NAME = "<num>", "<unit>", "<name>"
 
 
@@ -57,14 +59,17 @@ def template(text) -> F.Column:
 
     def token(raws):
         def one(t, i):
-            first, rest = F.substring(t, 1, 1), F.substring(t, 2, 1 << 30)
-            before = F.get(raws, i - 1)
+            low, before = F.lower(t), F.get(raws, i - 1)
+            first = F.substring(t, 1, 1)
+            plain = (F.when(first.between("0", "9") | (first.between("²", "￿") & is_number(t)), F.lit(NUM))
+                     .when(is_mark(t), F.lit(""))
+                     .when(low.isin(UNITS) & before.isNotNull() & is_number(before), F.lit(UNIT))
+                     .otherwise(t))
             inner = before.isNotNull() & ~is_mark(before)
-            kind = (F.when(is_mark(t), F.lit(""))
-                    .when(first.between("0", "9") | (first.between("²", "￿") & is_number(t)), F.lit(NUM))
-                    .when(inner & F.lower(t).isin(UNITS) & is_number(before), F.lit(UNIT))
-                    .when(inner & (first != F.lower(first)) & (F.length(t) > 1) & (rest == F.lower(rest)), F.lit(NAME))
-                    .otherwise(F.lower(t)))
+            rest = F.substring(t, 2, 1 << 30)
+            name = inner & (F.length(t) > 1) & (first != F.lower(first)) & (rest == F.lower(rest))
+            kind = F.when(t == low, plain).otherwise(
+                F.when(low.isin(UNITS) & inner & is_number(before), F.lit(UNIT)).when(name, F.lit(NAME)).otherwise(low))
             return F.struct(kind.alias("t"), t.alias("v"))
         return one
 
@@ -74,25 +79,17 @@ def template(text) -> F.Column:
 
 
 def _windows(tokens: F.Column, size: int) -> F.Column:
-    """xxhash64 of each window of ``size`` template tokens; null where it has
-    too few literal tokens."""
+    """xxhash64 of each window of ``size`` template tokens."""
     t = F.transform(tokens, lambda x: x["t"])
-    literal = F.transform(tokens, lambda x: F.when(x["t"].isin(NUM, UNIT, NAME), 0).otherwise(1))
     starts = F.when(F.size(tokens) >= size, F.sequence(F.lit(1), F.size(tokens) - size + 1)).otherwise(
         F.array().cast("array<int>"))
-
-    def window(ts, ls):
-        def one(i):
-            enough = F.aggregate(F.slice(ls, i, size), F.lit(0), lambda a, b: a + b) >= MIN_LITERAL
-            return F.when(enough, F.xxhash64(F.slice(ts, i, size)))
-        return one
-
-    both = F.array(F.struct(t.alias("t"), literal.alias("l"), starts.alias("s")))
-    return F.flatten(F.transform(both, lambda x: F.transform(x["s"], window(x["t"], x["l"]))))
+    both = F.array(F.struct(t.alias("t"), starts.alias("s")))
+    return F.flatten(F.transform(both, lambda x: F.transform(x["s"], lambda i: F.xxhash64(F.slice(x["t"], i, size)))))
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, size, at, h, slotted, tokens): the windows of the benchmark."""
+    """(item, size, at, h, slots, a1, a2): the windows of the benchmark with
+    their slots and their anchor (two neighbouring literal tokens)."""
     t = (items.select(F.col(id_col).cast("long").alias("item"), template(text_col).alias("tokens"))
          .where("item is not null"))
     size = F.least(F.size("tokens"), F.lit(WINDOW))
@@ -100,12 +97,28 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     rows = rows.withColumn("h", F.expr("null").cast("array<bigint>"))
     for n in range(MIN_LITERAL, WINDOW + 1):
         rows = rows.withColumn("h", F.when(F.col("size") == n, _windows(F.col("tokens"), n)).otherwise(F.col("h")))
-    rows = rows.select("item", "size", "tokens", F.posexplode("h").alias("at", "h")).where("h is not null")
+    rows = rows.select("item", "size", "tokens", F.posexplode("h").alias("at", "h"))
     part = F.slice("tokens", F.col("at") + 1, F.col("size"))
+    literal = F.filter(part, lambda x: ~x["t"].isin(NUM, UNIT, NAME))
+    rows = rows.where(F.size(literal) >= MIN_LITERAL)
+    pairs = F.zip_with(part, F.slice(part, 2, WINDOW), lambda x, y: F.struct(
+        (-F.length(x["t"]) - F.length(y["t"])).alias("n"), x["t"].alias("a"), y["t"].alias("b")))
+    pairs = F.filter(pairs, lambda p: p["b"].isNotNull() & ~p["a"].isin(NUM, UNIT, NAME) & ~p["b"].isin(NUM, UNIT, NAME))
+    anchor = F.array_min(pairs)
     slots = F.filter(F.transform(part, lambda x, i: F.struct((i + F.col("at")).alias("p"), x["t"].alias("t"),
                                                              x["v"].alias("v"))),
                      lambda x: x["t"].isin(NUM, UNIT, NAME))
-    return rows.select("item", "size", "at", "h", slots.alias("slots"))
+    return rows.select("item", "size", "at", "h", slots.alias("slots"), anchor["a"].alias("a1"), anchor["b"].alias("a2"))
+
+
+def candidates(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Distinct ids of the documents that hold the anchor of a window."""
+    anchors = materialize(bench.select("a1", "a2").distinct(), "anchors")
+    words = (docs.select(F.col(id_col).cast("long").alias("id"),
+                         F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("w")).where("id is not null")
+             .select("id", F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 1 << 30).alias("y")))))
+    found = words.join(anchors, (F.lower("x") == F.col("a1")) & (F.lower("y") == F.col("a2")), "left_semi")
+    return materialize(found.select("id").distinct(), "candidates")
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -115,12 +128,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     windows found, ``changed_slots`` those slot values that differ."""
     bench = materialize(item_windows(items, item_id, item_text).distinct(), "bench")
     sizes = sorted(r.size for r in bench.select("size").distinct().collect())   # at most WINDOW values
-    small = bench.count() <= BROADCAST_WINDOWS
     keys = bench.select("item", F.col("size").alias("isize"), "at", F.col("h").alias("ih"),
                         (F.size("slots") > 0).alias("slotted"))
-    keys = F.broadcast(keys) if small else keys
-    tokens = (docs.select(F.col(id_col).cast("long").alias("id"), template(text_col).alias("tokens"))
-              .where("id is not null"))
+    ids = candidates(docs, bench, id_col, text_col)
+    tokens = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
+              .join(ids, "id", "left_semi").select("id", template("_text").alias("tokens")))
     hashed = tokens.select("id", F.array(*[F.struct(F.lit(n).alias("size"), _windows(F.col("tokens"), n).alias("h"))
                                            for n in sizes or [WINDOW]]).alias("w"))
     spread = (hashed.select("id", F.explode("w").alias("w"))
@@ -132,8 +144,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     # slot values of the documents that match a window with slots
     slotted = hits.where("slotted")
     wanted = materialize(slotted.select("id").distinct(), "slotted")
-    texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_text"))
-             .join(wanted, "id", "left_semi").select("id", template("_text").alias("tokens"))
+    texts = (tokens.join(wanted, "id", "left_semi")
              .select("id", F.posexplode("tokens").alias("dpos", "token")).select("id", "dpos", F.col("token.v").alias("dv")))
     slots = (slotted.join(bench.select("item", "at", "slots"), ["item", "at"])
              .select("id", "item", "diagonal", F.explode("slots").alias("slot"))
