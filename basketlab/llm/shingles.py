@@ -54,7 +54,7 @@ def _elements(h: np.ndarray, row: np.ndarray, n: int, width: int):
         k = key[order]
         start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
         nth = np.arange(len(k)) - np.repeat(start, np.diff(np.append(start, len(k))))
-        s[order] = mix(s[order] + nth.astype(U) * U(0xA0761D6478BD642F))
+        s[order] = np.where(nth > 0, mix(s[order] + nth.astype(U) * U(0xA0761D6478BD642F)), s[order])
     return s, offs
 
 
