@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     many links meets a one-row side (Spark splits such a partition) and no
     neighbourhood is gathered. Each round is a written table; one row with
     its count and checksum reaches the driver."""
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(
-        F.col(u).isNotNull() & F.col(v).isNotNull()).distinct()
+    e = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull()).select(
+        F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     cur, before = materialize(e, "edges"), None
     nodes = cur.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
     cur = cur.where("u <> v")
