@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.functions.columns import ratio
 
-# Largest product dimension the 'all' policy broadcasts.
-MAX_PRODUCTS_FOR_ALL = 100_000
-
+# Output column names of the feature frames.
 ORDER_FEATURES = ["order_hour_of_day", "order_dow", "days_since_prior_order"]
 
 USER_FEATURE_MAP = [
@@ -44,31 +42,12 @@ def heldout_orders(orders: DataFrame, eval_set: str) -> DataFrame:
     return orders.filter(F.col("eval_set") == eval_set).select("order_id", "user_id", *ORDER_FEATURES)
 
 
-def candidates(orders: DataFrame, products: DataFrame, eval_set: str, policy: str = "all",
-               up_features: DataFrame | None = None, max_products: int = MAX_PRODUCTS_FOR_ALL) -> DataFrame:
-    """(held-out order, product) pairs to score.
-
-    policy='all' is the reference's rule: every product for every held-out
-    order, so the output is orders x products rows by definition. The
-    product dimension is counted first; within ``max_products`` it is
-    broadcast (that count is its size bound), above it both sides stay
-    distributed and Spark pairs their partitions. No product is dropped.
-
-    policy='bought' pairs each held-out order with the products its customer
-    bought in prior orders: an equi-join on user_id, linear in the
-    user x product table. It is the policy for large catalogues.
-    """
-    held = heldout_orders(orders, eval_set)
-    if policy == "all":
-        dim = products.select("product_id")
-        if dim.count() <= max_products:
-            return held.crossJoin(F.broadcast(dim))
-        return held.crossJoin(dim)
-    if policy == "bought":
-        if up_features is None:
-            raise ValueError("policy='bought' needs the user x product table")
-        return held.join(up_features.select("user_id", "product_id"), "user_id")
-    raise ValueError(f"unknown candidate policy {policy!r}")
+def candidates(orders: DataFrame, up_features: DataFrame, eval_set: str) -> DataFrame:
+    """(held-out order, product) pairs to score: each held-out order
+    with the products its customer bought in prior orders. An equi-join on
+    user_id, linear in the user x product table; the product dimension is
+    never paired with all orders."""
+    return heldout_orders(orders, eval_set).join(up_features.select("user_id", "product_id"), "user_id")
 
 
 def label_candidates(cands: DataFrame, order_products: DataFrame, eval_set: str) -> DataFrame:
@@ -114,28 +93,19 @@ def _finish(df: DataFrame, with_labels: bool) -> DataFrame:
 
 
 def feature_frame(orders: DataFrame, users: DataFrame, product_features: DataFrame, up: DataFrame,
-                  order_products: DataFrame, eval_set: str, policy: str = "all",
-                  with_labels: bool = False, max_products: int = MAX_PRODUCTS_FOR_ALL) -> DataFrame:
+                  order_products: DataFrame, eval_set: str, with_labels: bool = False) -> DataFrame:
     """Q15: candidates of one held-out set with all features (and labels).
 
-    Same result as candidates -> label_candidates -> attach_features, with a
-    plan that moves the per-user and per-product lookups below the pair
-    expansion: user features are joined to the held-out orders (one row per
-    customer) and product features ride on the product dimension. The pair
-    table then meets only user x product data, and both those joins (user x
-    product features, labels) use the key (user_id, product_id): each
-    customer has one held-out order per set, so that key identifies a
-    candidate, and one hash partitioning serves both joins.
+    Same result as candidates -> label_candidates -> attach_features. User
+    features are joined to the held-out orders (one row per customer), and the
+    user x product features are the candidates themselves, so the pair table
+    is only joined with the product features and, on (user_id, product_id),
+    with the labels: each customer has one held-out order per set, so that
+    key identifies a candidate.
     """
     u, p, x = _lookups(users, product_features, up)
     held = heldout_orders(orders, eval_set).join(u, "user_id", "left")
-    if policy == "all":
-        dim = p if p.count() > max_products else F.broadcast(p)
-        df = held.crossJoin(dim).join(x, ["user_id", "product_id"], "left")
-    elif policy == "bought":
-        df = held.join(x, "user_id").join(p, "product_id", "left")
-    else:
-        raise ValueError(f"unknown candidate policy {policy!r}")
+    df = held.join(x, "user_id").join(p, "product_id", "left")
     if with_labels:
         truth = (order_products.filter(F.col("eval_set") == eval_set)
                  .select("user_id", "product_id", F.lit(1).cast("long").alias("labels")))

@@ -138,7 +138,7 @@ FROM x_priors GROUP BY user_id, product_id"""),
 for _es in ("train", "test"):
     CTES.append((f"x_cand_{_es}", f"""
 SELECT o.order_id, p.product_id, o.user_id, o.order_hour_of_day, o.order_dow, o.days_since_prior_order
-FROM x_orders o, x_products p WHERE o.eval_set = '{_es}'"""))
+FROM x_orders o JOIN x_up p USING (user_id) WHERE o.eval_set = '{_es}'"""))
 CTES.append(("x_lab_train", """
 SELECT c.*, CAST(CASE WHEN t.order_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS labels
 FROM x_cand_train c LEFT JOIN (SELECT order_id, product_id FROM x_op WHERE eval_set = 'train') t

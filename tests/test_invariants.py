@@ -27,11 +27,11 @@ def test_pipeline_invariants(spark, sf_small):
     # reorders = orders - first buys, per product
     pf = p.product_features
     assert pf.filter("reorders != orders - prod_first_buy").count() == 0
-    # candidate rows = held-out orders x products
-    n_products = p.products.count()
+    # candidate rows = held-out orders x products their customer bought before
     for es in ("train", "test"):
-        n_orders = o.filter(F.col("eval_set") == es).count()
-        assert p.feature_frame(es).count() == n_orders * n_products
+        held = o.filter(F.col("eval_set") == es).select("order_id", "user_id")
+        bought = p.priors.select("user_id", "product_id").distinct()
+        assert p.feature_frame(es).count() == held.join(bought, "user_id").count()
 
 
 def test_f1_bounds(spark, sf_small):
@@ -58,7 +58,7 @@ def test_attach_features_path_equals_feature_frame(spark, sf_small):
     from basketlab.operators import candidates as C
     p = _pipe(spark, sf_small)
     for es, labelled in (("train", True), ("test", False)):
-        cands = C.candidates(p.orders, p.products, es)
+        cands = C.candidates(p.orders, p.up_features, es)
         if labelled:
             cands = C.label_candidates(cands, p.order_products, es)
         a = C.attach_features(cands, p.user_features, p.product_features, p.up_features, labelled)
