@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.functions.columns import ordered_ids, whole_days_between
 from basketlab.operators.indexing import hash_split
-from basketlab.operators.sequence import number_within
+from basketlab.operators.sequence import number_within, window_within
 
 EVAL_SETS = ("prior", "train", "test")
 
@@ -21,7 +21,7 @@ def orders_from_lines(clean: DataFrame) -> DataFrame:
             .select(F.col("_f.user_id").alias("user_id"), "order_id", F.col("_f.order_date").alias("order_date")))
 
 
-def sequence_orders(orders: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+def sequence_orders(orders: DataFrame) -> DataFrame:
     """Order number per customer (ties by order_id), calendar
     columns and whole days since the previous order (null for the first).
 
@@ -29,7 +29,7 @@ def sequence_orders(orders: DataFrame, heavy_rows: int | None = None) -> DataFra
     number of orders is spread over many tasks.
     """
     seq = number_within(orders, ["user_id"], ["order_date", "order_id"], "order_number",
-                        prev={"order_date": "_prev_date"}, heavy_rows=heavy_rows)
+                        prev={"order_date": "_prev_date"})
     return seq.select(
         "user_id", "order_id", "order_date", "order_number",
         F.weekday("order_date").cast("long").alias("order_dow"),
@@ -60,10 +60,10 @@ def build_orders(clean: DataFrame, share: float = K.TRAIN_SHARE, seed: int = K.S
         "days_since_prior_order", "eval_set")
 
 
-def cart_position(clean: DataFrame, heavy_rows: int | None = None) -> DataFrame:
-    """Position of each product in its order, following line order."""
-    return number_within(clean, ["order_id"], ["line_no", "product_id"], "add_to_cart_order",
-                         heavy_rows=heavy_rows)
+def cart_position(clean: DataFrame) -> DataFrame:
+    """Position of each product in its order, following line order. An
+    order holds the lines of one invoice, so a plain window does."""
+    return window_within(clean, ["order_id"], ["line_no", "product_id"], "add_to_cart_order")
 
 
 def mark_reordered(lines: DataFrame) -> DataFrame:
@@ -79,10 +79,10 @@ def mark_reordered(lines: DataFrame) -> DataFrame:
             .drop("_first"))
 
 
-def nth_purchase(lines: DataFrame, heavy_rows: int | None = None) -> DataFrame:
+def nth_purchase(lines: DataFrame) -> DataFrame:
     """N-th purchase of the product by the customer, in order-number order."""
     return number_within(lines, ["user_id", "product_id"], ["order_number", "order_id"],
-                         "user_buy_product_times", heavy_rows=heavy_rows)
+                         "user_buy_product_times")
 
 
 def build_order_products(clean: DataFrame, orders: DataFrame) -> DataFrame:

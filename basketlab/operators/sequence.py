@@ -1,18 +1,19 @@
-"""Row numbers and previous-row values within groups, safe for heavy groups.
-
-A window partitioned by a key puts each group in one task. That is fine
-for ordinary groups and wrong for a key that holds a large share of the
-rows (a reseller with millions of invoices). ``number_within`` splits the
-groups by size:
-
-* groups with at most ``heavy_rows`` rows use the window directly;
-* heavier groups (at most total_rows / heavy_rows of them, so their key
-  list has a proven size bound; it is collected and broadcast) are
-  range-partitioned on
-  (group, order), written once to the checkpoint folder with partition ids
-  and in-partition positions, numbered inside each (group, partition) block,
-  and shifted by the row counts of the group's earlier blocks. The first row
-  of a block takes its previous value from the last row of the block before.
+"""Row numbers and previous-row values within groups of any size.
+
+A window partitioned by a key puts each group in one task, which is wrong
+for a key that may hold a large share of the rows (a reseller with millions
+of invoices). ``number_within`` therefore never does that:
+
+* the rows are range-partitioned on (group, order), so a large group spans
+  several partitions, and written to the checkpoint folder with partition ids
+  and in-partition positions (which must not change between the two reads);
+* rows are numbered inside each (group, partition) block, and shifted by the
+  row counts of the group's earlier blocks. The first row of a block takes its
+  previous value from the last row of the block before.
+
+Nothing is collected and there is one path for every size. Where a group is
+bounded by its meaning (the lines of one invoice), ``window_within`` is the
+plain window.
 """
 
 from __future__ import annotations
@@ -22,65 +23,39 @@ from pyspark.sql import functions as F
 
 from basketlab.session import materialize
 
-HEAVY_ROWS_CONF = "basketlab.heavyGroupRows"
-DEFAULT_HEAVY_ROWS = 1_000_000
 
-
-def heavy_threshold(df: DataFrame, heavy_rows: int | None) -> int:
-    if heavy_rows is not None:
-        return heavy_rows
-    return int(df.sparkSession.conf.get(HEAVY_ROWS_CONF, str(DEFAULT_HEAVY_ROWS)))
+def window_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str) -> DataFrame:
+    """Row number per group, for groups that are small by their meaning."""
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    return df.select("*", F.row_number().over(w).cast("long").alias(out))
 
 
 def number_within(df: DataFrame, group_cols: list[str], order_cols: list[str], out: str,
-                  prev: dict[str, str] | None = None, heavy_rows: int | None = None) -> DataFrame:
+                  prev: dict[str, str] | None = None) -> DataFrame:
     """Add ``out`` = 1-based row number per group in ``order_cols`` order
     (which must be a total order within the group), and for each
     ``prev[src] = dst`` the value of ``src`` on the previous row (null on the
-    first row of the group).
-
-    The heavy keys are collected first: there are at most N / heavy_rows of
-    them. With none (the usual case) the plan is one window and keeps the
-    window's hash partitioning.
-    """
+    first row of the group)."""
     prev = prev or {}
-    limit = heavy_threshold(df, heavy_rows)
-    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    window_cols = [F.row_number().over(w).cast("long").alias(out),
-                   *[F.lag(s).over(w).alias(d) for s, d in prev.items()]]
-    heavy = (df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_rows"))
-             .filter(F.col("_rows") > limit).select(*group_cols))
-    keys = heavy.collect()
-    if not keys:
-        return df.select("*", *window_cols)
-    heavy = df.sparkSession.createDataFrame(keys, heavy.schema)
-    normal = df.join(F.broadcast(heavy), group_cols, "left_anti").select("*", *window_cols)
-    hot = df.join(F.broadcast(heavy), group_cols, "left_semi")
-    return normal.unionByName(_number_heavy(hot, group_cols, order_cols, out, prev))
-
-
-def _number_heavy(hot: DataFrame, group_cols: list[str], order_cols: list[str], out: str,
-                  prev: dict[str, str]) -> DataFrame:
-    spark = hot.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [*group_cols, *order_cols]
-    ranked = (hot.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranked = materialize(ranked, "heavy_groups")
+    ranked = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()), "numbered")
     block = Window.partitionBy(*group_cols, "_pid").orderBy("_mid")
-    ranked = ranked.select("*", F.row_number().over(block).alias("_local"),
-                           *[F.lag(s).over(block).alias(f"_lp_{d}") for s, d in prev.items()])
+    local = ranked.select("*", F.row_number().over(block).alias("_local"),
+                          *[F.lag(s).over(block).alias(f"_lp_{d}") for s, d in prev.items()])
     last = F.max_by(F.struct(*[F.col(s).alias(d) for s, d in prev.items()]) if prev else F.lit(0), F.col("_mid"))
     blocks = ranked.groupBy(*group_cols, "_pid").agg(F.count(F.lit(1)).alias("_cnt"), last.alias("_last"))
-    earlier = Window.partitionBy(*group_cols).orderBy("_pid")
-    blocks = blocks.select(*group_cols, "_pid",
+    earlier = Window.partitionBy(*group_cols).orderBy("_pid")     # at most one row per partition
+    blocks = blocks.select(*[F.col(c).alias(f"_g_{c}") for c in group_cols], F.col("_pid").alias("_bp"),
                            F.coalesce(F.sum("_cnt").over(earlier.rowsBetween(Window.unboundedPreceding, -1)),
                                       F.lit(0)).alias("_off"),
                            F.lag("_last").over(earlier).alias("_before"))
-    res = ranked.join(F.broadcast(blocks), [*group_cols, "_pid"])
-    cols = [c for c in hot.columns]
+    same = F.col("_pid") == F.col("_bp")
+    for c in group_cols:
+        same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     extra = [(F.col("_off") + F.col("_local")).cast("long").alias(out)]
     for s, d in prev.items():
         extra.append(F.when(F.col("_local") == 1, F.col(f"_before.{d}")).otherwise(F.col(f"_lp_{d}")).alias(d))
-    return res.select(*cols, *extra)
+    return local.join(blocks, same).select(*df.columns, *extra)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basketlab.operators.sequence import number_within
+from basketlab.operators.sequence import window_within
 from basketlab.sources.tables import read_table
 
 RAW_SCHEMA = T.StructType([
@@ -54,9 +54,8 @@ def conform(df: DataFrame) -> DataFrame:
 def invoice_lines_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
     """Invoice lines from lineitem, orders, part, customer and nation.
 
-    Plan shape: lineitem is numbered per order (``number_within``: a window
-    hash-partitioned by order key, with the split path for a heavy order)
-    and joined to orders on the same key, so that window and join share one
+    Plan shape: lineitem is numbered per order (a window hash-partitioned by
+    order key; an order holds the lines of one invoice) and joined to orders on the same key, so that window and join share one
     exchange. Orders are enriched with customer and nation first (orders are a
     quarter of lineitem), nation is the fixed 25-row dimension and is
     broadcast; part and customer joins are left to the planner and AQE, which
@@ -65,7 +64,7 @@ def invoice_lines_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
     li = read_table(spark, base_dir, "lineitem",
                     ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                      "l_extendedprice", "l_returnflag", "l_linestatus"])
-    li = number_within(li, ["l_orderkey"],
+    li = window_within(li, ["l_orderkey"],
                        ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "line_no")
 
     nation = read_table(spark, base_dir, "nation", ["n_nationkey", "n_name"])
