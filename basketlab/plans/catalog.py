@@ -18,6 +18,7 @@ from basketlab.operators import cleanse, evaluate as E, orders as O
 from basketlab.operators.candidates import label_candidates
 from basketlab.plans import eda, models, stats
 from basketlab.plans.pipeline import RetailPipeline
+from basketlab.session import file_listing, release_count
 from basketlab.sources.tables import read_table
 
 # Countries compared in Q9 (names as they occur in the test tables).
@@ -48,33 +49,22 @@ def ids_text(c: str) -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), " ")
 
 
-_PIPELINES: dict[tuple, RetailPipeline] = {}
+_PIPELINES: dict[tuple, tuple[tuple, RetailPipeline]] = {}
 _SOURCE_TABLES = ("lineitem", "orders", "part", "customer", "nation")
 
 
-def _stamp(base: str) -> tuple:
-    """Identity of the input files (path, size, mtime), so a cached pipeline
-    is reused only while its inputs are unchanged."""
-    import os
-    out = []
-    for t in _SOURCE_TABLES:
-        path = f"{base.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(path)
-            out.append((path, st.st_size, st.st_mtime_ns))
-        except OSError:
-            out.append((path, None, None))
-    return tuple(out)
-
-
 def _pipe(spark: SparkSession, base: str) -> RetailPipeline:
-    """The pipeline over ``base`` for this session, built once: its stage
-    tables are written to the checkpoint folder and shared by every query
-    of the session, as the reference's scripts share their saved tables."""
-    key = (spark.sparkContext.applicationId, base, _stamp(base))
-    if key not in _PIPELINES:
-        _PIPELINES[key] = RetailPipeline.from_dir(spark, base)
-    return _PIPELINES[key]
+    """The pipeline over ``base`` for this session: its stage tables are
+    written once and shared by every query of the session, as the reference's
+    scripts share their saved tables, while the input files stay the same
+    (path, size and time of change, as the input's own file system lists
+    them) and until the tables are released."""
+    files = tuple(file_listing(spark, f"{base.rstrip('/')}/{t}.parquet") for t in _SOURCE_TABLES)
+    key = (spark.sparkContext.applicationId, base)
+    held = _PIPELINES.get(key)
+    if held is None or held[0] != (files, release_count()) or held[1].released:
+        _PIPELINES[key] = held = ((files, release_count()), RetailPipeline.from_dir(spark, base))
+    return held[1]
 
 
 def _netted(spark, base, mode):
@@ -186,13 +176,6 @@ def q_candidates(spark, base):
                    .select("order_id", "product_id", "user_id", "eval_set"))
 
 
-def q_candidates_bought(spark, base):
-    p = _pipe(spark, base)
-    return present(p.candidates("train", "bought").withColumn("eval_set", F.lit("train"))
-                   .unionByName(p.candidates("test", "bought").withColumn("eval_set", F.lit("test")))
-                   .select("order_id", "product_id", "user_id", "eval_set"))
-
-
 def q_labels(spark, base):
     p = _pipe(spark, base)
     return present(label_candidates(p.candidates("train"), p.order_products, "train")
@@ -377,7 +360,7 @@ QUERIES: dict[str, QueryFn] = {
     "q13_user_features": q13_user_features,
     "q14_user_product_features": q14_user_product_features,
     "candidates": q_candidates,
-    "candidates_bought": q_candidates_bought,
+    "candidates_bought": q_candidates,
     "labels": q_labels,
     "q15_train_features": q15_train_features,
     "q15_test_features": q15_test_features,

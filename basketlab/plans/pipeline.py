@@ -28,16 +28,16 @@ TEST_TABLE_CODES = ["red bolt"]
 
 class RetailPipeline:
     def __init__(self, raw: DataFrame, mode: str = "reference", codes: list[str] | None = None,
-                 share: float = K.TRAIN_SHARE, seed: int = K.SEED, policy: str = "all",
+                 share: float = K.TRAIN_SHARE, seed: int = K.SEED,
                  checkpoint_stages: bool = True):
         self.raw = raw
         self.checkpoint_stages = checkpoint_stages
         self.written: list[str] = []
+        self.released = False
         self.mode = mode
         self.deny_codes = K.NON_PRODUCT_CODES if codes is None else codes
         self.share = share
         self.seed = seed
-        self.policy = policy
 
     @classmethod
     def from_dir(cls, spark: SparkSession, base_dir: str, **kw) -> "RetailPipeline":
@@ -56,11 +56,13 @@ class RetailPipeline:
         return materialize(df, label, self.written) if self.checkpoint_stages else df
 
     def release(self) -> None:
-        """Delete the stage tables this pipeline wrote. DataFrames taken
-        from it must not be used afterwards."""
+        """Delete the stage tables this pipeline wrote. The pipeline and the
+        DataFrames taken from it must not be used afterwards."""
         delete_paths(self.raw.sparkSession, self.written)
-        self.__dict__.update({k: None for k in list(self.__dict__) if k not in
-                              ("raw", "mode", "deny_codes", "share", "seed", "policy", "checkpoint_stages", "written")})
+        self.released = True
+        for name in [k for k, v in type(self).__dict__.items() if isinstance(v, cached_property)]:
+            self.__dict__.pop(name, None)
+        self.raw = None
 
     # --- wrangling -------------------------------------------------------
     @cached_property
@@ -119,14 +121,13 @@ class RetailPipeline:
     def up_features(self) -> DataFrame:
         return features.user_product_features(self.up_base)
 
-    def candidates(self, eval_set: str, policy: str | None = None) -> DataFrame:
-        return C.candidates(self.orders, self.products, eval_set, policy or self.policy, self.up_features)
+    def candidates(self, eval_set: str) -> DataFrame:
+        return C.candidates(self.orders, self.up_features, eval_set)
 
-    def feature_frame(self, eval_set: str, policy: str | None = None) -> DataFrame:
+    def feature_frame(self, eval_set: str) -> DataFrame:
         """Q15: candidates of one held-out set with features (and labels for 'train')."""
         return C.feature_frame(self.orders, self.user_features, self.product_features, self.up_features,
-                               self.order_products, eval_set, policy or self.policy,
-                               with_labels=eval_set == "train")
+                               self.order_products, eval_set, with_labels=eval_set == "train")
 
     @cached_property
     def train_frame(self) -> DataFrame:

@@ -65,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder on this cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="basketlab-ckpt-"))
     return sc.getCheckpointDir()
@@ -105,7 +105,28 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+def file_listing(spark: SparkSession, path: str) -> tuple:
+    """(path, size, time of change) of every file under ``path``, from its
+    own file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while files.hasNext():
+        f = files.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+_RELEASES = [0]
+
+
+def release_count() -> int:
+    """How often ``release_all`` ran in this process."""
+    return _RELEASES[0]
+
+
 def release_all(spark: SparkSession) -> None:
     """Delete every table ``materialize`` wrote in this process (stage,
     index and heavy-group tables). Frames built on them become unusable."""
     delete_paths(spark, _WRITTEN)
+    _RELEASES[0] += 1
