@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROUND_DIGITS = 6
-
 
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -17,24 +15,6 @@ def ratio(num: str | Column, den: str | Column) -> Column:
     return F.try_divide(col(num).cast("double"), col(den).cast("double"))
 
 
-def ratio_or_zero(num: str | Column, den: str | Column) -> Column:
-    """ratio(), with the reference's NaN -> 0 fill."""
-    return F.coalesce(ratio(num, den), F.lit(0.0))
-
-
-def as_double(c: str | Column) -> Column:
-    return col(c).cast("double")
-
-
-def rounded(c: str | Column, digits: int = ROUND_DIGITS) -> Column:
-    return F.round(col(c).cast("double"), digits)
-
-
-def hash_key(*parts: str | Column) -> Column:
-    """md5 of the parts joined with ':'; the same value in Spark and DuckDB."""
-    return F.md5(F.concat_ws(":", *[col(p).cast("string") for p in parts]))
-
-
 def whole_days_between(start: str | Column, end: str | Column) -> Column:
     """Whole elapsed 24-hour periods from start to end (not calendar days)."""
     return F.timestamp_diff("DAY", col(start), col(end))
@@ -63,36 +43,60 @@ def basket_f1(pred: str | Column, true: str | Column) -> Column:
 # Integer mixing hash for permutations (all below 2^31, so
 # every product of two of them fits in a signed 64-bit integer).
 HASH_PRIME = 2147483647
-HASH_KEY_MULT = 1000003
 HASH_REP_MULT = 40503
 HASH_ROUNDS = [(1103515245, 13), (1181783497, 17), (1597334677, 11)]
+HASH_LANES = [(12345, 67890123), (918273645, 546372819)]
+HASH_BITS = 62
 
 
-def mix_hash(keys: list[str | Column], rep: str | Column) -> Column:
-    """Pseudo-random integer in [0, 2^31 - 1) from non-negative integer keys
-    and a replicate number: multiply-mod-prime rounds with xor-shifts. Pure
-    64-bit integer arithmetic (whole-stage codegen, no strings), and the same
-    value in any SQL engine with %, >> and xor."""
+def _rounds(x: Column) -> Column:
     p = F.lit(HASH_PRIME)
-    acc = None
-    for k in keys:
-        part = F.pmod(col(k).cast("long"), p)
-        acc = part if acc is None else F.pmod(acc * HASH_KEY_MULT + part, p)
-    x = F.pmod(acc + col(rep).cast("long") * HASH_REP_MULT, p)
     for mult, shift in HASH_ROUNDS:
         x = F.pmod(x * mult, p)
         x = x.bitwiseXOR(F.shiftright(x, shift))
     return F.pmod(x, p)
 
 
-def mix_hash_sql(keys: list[str], rep: str) -> str:
-    """``mix_hash`` as SQL text (DuckDB dialect)."""
-    acc = None
-    for k in keys:
-        part = f"(CAST({k} AS BIGINT) % {HASH_PRIME})"
-        acc = part if acc is None else f"(({acc}) * {HASH_KEY_MULT} + {part}) % {HASH_PRIME}"
-    x = f"(({acc}) + CAST({rep} AS BIGINT) * {HASH_REP_MULT}) % {HASH_PRIME}"
+def mix_lanes(keys: list[str | Column], rep: str | Column) -> list[Column]:
+    """Two pseudo-random integers in [0, 2^31 - 1) from non-negative integer
+    keys and a replicate number.
+
+    In each lane the replicate is mixed into a multiplier and a start, the
+    keys are packed by that polynomial, and the result is mixed again. So the
+    replicates are not shifts of one stream, keys that collide in one
+    replicate part in the next, and the lanes collide independently. Pure
+    64-bit integer arithmetic, and the same value in any SQL engine with %,
+    >> and xor."""
+    p, out = F.lit(HASH_PRIME), []
+    for seeds in HASH_LANES:
+        mult, start = (_rounds(F.pmod(col(rep).cast("long") * HASH_REP_MULT + s, p)) for s in seeds)
+        acc = start
+        for k in keys:
+            acc = F.pmod(acc * (mult + 1) + F.pmod(col(k).cast("long"), p), p)
+        out.append(_rounds(acc))
+    return out
+
+
+def mix_hash(keys: list[str | Column], rep: str | Column) -> Column:
+    """Both lanes as one integer of HASH_BITS bits."""
+    first, second = mix_lanes(keys, rep)
+    return first * F.lit(1 << 31).cast("long") + second
+
+
+def _rounds_sql(x: str) -> str:
     for mult, shift in HASH_ROUNDS:
         x = f"(({x}) * {mult}) % {HASH_PRIME}"
         x = f"xor({x}, ({x}) >> {shift})"
     return f"(({x}) % {HASH_PRIME})"
+
+
+def mix_hash_sql(keys: list[str], rep: str) -> str:
+    """The lanes of ``mix_lanes`` as SQL text (DuckDB dialect), to order by."""
+    out = []
+    for seeds in HASH_LANES:
+        mult, start = (_rounds_sql(f"(CAST({rep} AS BIGINT) * {HASH_REP_MULT} + {s}) % {HASH_PRIME}") for s in seeds)
+        acc = start
+        for k in keys:
+            acc = f"(({acc}) * ({mult} + 1) + (CAST({k} AS BIGINT) % {HASH_PRIME})) % {HASH_PRIME}"
+        out.append(_rounds_sql(acc))
+    return ", ".join(out)

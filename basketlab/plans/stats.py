@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab import constants as K
-from basketlab.functions.columns import mix_hash
+from basketlab.functions.columns import HASH_BITS, mix_hash
 
 Statistic = Callable[[Column, Column], Column]
 
@@ -57,9 +57,38 @@ def diff_of_means(value: Column, in_first: Column) -> Column:
     return F.avg(F.when(in_first, value)) - F.avg(F.when(~in_first, value))
 
 
-def _bucket_bits(n: int) -> int:
-    # ~16k rows per hash bucket of a replicate; 4..24 leading bits of a 31-bit hash.
-    return max(4, min(24, math.ceil(math.log2(n / 16384)) if n > 16384 else 4))
+LEVEL_BITS = 10        # 1,024 counts per replicate and level
+SMALL_BUCKET = 16384   # rows of a replicate that are ranked to find its last row
+
+
+def _cut_points(hashed: DataFrame, n0: int, keys: list[str]) -> DataFrame:
+    """(rep, cut): the struct (_h, keys) of the n0-th row of each replicate.
+
+    A histogram over LEVEL_BITS bits of the hash finds the bucket that holds
+    it; the rows of that bucket are counted by the next bits, and so on until
+    no boundary bucket holds more than SMALL_BUCKET rows. Each pass shuffles
+    partial counts, at most 1,024 per replicate and task whatever the size of
+    the data; one row per replicate comes back."""
+    spark = hashed.sparkSession
+    shift, left = HASH_BITS - LEVEL_BITS, None
+    while True:
+        rows = hashed.withColumn("_need", F.lit(n0).cast("long"))
+        if left is not None:
+            rows = hashed.join(F.broadcast(left), "rep").where(F.shiftright("_h", shift + LEVEL_BITS) == F.col("_prefix"))
+        counts = rows.groupBy("rep", "_need", F.shiftright("_h", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.partitionBy("rep").orderBy("_b")
+        found = (counts.withColumn("_upto", F.sum("_n").over(w))
+                 .where((F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need")))
+                 .select("rep", "_b", (F.col("_need") - F.col("_upto") + F.col("_n")).alias("_need"), "_n").collect())
+        left = spark.createDataFrame([(r["rep"], r["_b"], r["_need"]) for r in found],
+                                     "rep int, _prefix long, _need long")
+        if max((r["_n"] for r in found), default=0) <= SMALL_BUCKET or shift < LEVEL_BITS:
+            break
+        shift -= LEVEL_BITS
+    inside = hashed.join(F.broadcast(left), "rep").where(F.shiftright("_h", shift) == F.col("_prefix"))
+    order = Window.partitionBy("rep").orderBy("_h", *keys)
+    return (inside.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") == F.col("_need"))
+            .select("rep", F.struct("_h", *keys).alias("_cut")))
 
 
 def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, features: list[str],
@@ -70,75 +99,23 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
 
     Replicate r puts in the first group the n0 rows with the smallest
     mix_hash(key, r) (ties by key), n0 = rows with the first label: an exact
-    permutation of the labels. The cut is found without sorting a replicate:
-    a histogram over the hash's leading bits locates the bucket holding the
-    n0-th row, and only that bucket (~16k rows per replicate) is ranked.
-    Rows are replicated by a generator inside the scan stage and reduced by
-    partial aggregation, so only per-task partial results are shuffled.
-
-    For the difference of means two passes suffice: group sizes are fixed
-    (n0, n - n0), so the first-group sum per feature decides the statistic;
-    it is the sum of the buckets below the cut (from the histogram pass)
-    plus the ranked part of the boundary bucket. Other statistics take a
-    third pass that marks each replicated row's group.
+    permutation of the labels. ``_cut_points`` finds the last of these rows
+    from counts alone, without sorting a replicate; then one pass reduces the
+    features of all replicates, grouped by replicate only. Rows are replicated
+    by a generator inside the scan stage, so only per-task partial results
+    are shuffled.
     """
     base = df.select(*key_cols, label, *features)
     is_first = F.col(label) == first_label
-    sizes = base.agg(F.count(F.lit(1)).alias("_n"), F.count_if(is_first).alias("_n0"),
-                     *[F.sum(F.col(f).cast("double")).alias(f"t_{f}") for f in features],
-                     *[F.sum(F.when(is_first, F.col(f).cast("double"))).alias(f"o_{f}") for f in features]).first()
-    n, n0 = int(sizes["_n"]), int(sizes["_n0"])
-    bits = _bucket_bits(n)
+    n0 = base.agg(F.count_if(is_first)).first()[0]
     h = mix_hash(key_cols, "rep")
-    bucket = F.shiftright(F.col("_h"), 31 - bits)
-    fast = statistic is diff_of_means and 0 < n0 < n
-    carried = features if fast else []
-    def replicated(cols):
-        reps = base.select(*key_cols, *cols, F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep"))
-        return reps.withColumn("_h", h).withColumn("_b", bucket)
-
-    hashed = replicated([])
-    per_bucket = replicated(carried).groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("_cnt"),
-                                                 *[F.sum(F.col(f).cast("double")).alias(f) for f in carried])
-    upto = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = Window.partitionBy("rep").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    boundary = (per_bucket.select("rep", "_b", "_cnt", F.sum("_cnt").over(upto).alias("_cum"),
-                                  *[F.coalesce(F.sum(f).over(below), F.lit(0.0)).alias(f"_pre_{f}") for f in carried])
-                .filter((F.col("_cum") >= n0) & (F.col("_cum") - F.col("_cnt") < n0))
-                .select("rep", F.col("_b").alias("_bstar"),
-                        (F.lit(n0) - F.col("_cum") + F.col("_cnt")).alias("_need"),
-                        *[f"_pre_{f}" for f in carried]))
-    in_bucket = hashed.join(F.broadcast(boundary), "rep").filter(F.col("_b") == F.col("_bstar"))
-    order = Window.partitionBy("rep").orderBy("_h", *key_cols)
-    ranked = in_bucket.withColumn("_rn", F.row_number().over(order))
-
-    if fast:
-        n1 = n - n0
-        # Boundary rows are few (about one bucket per replicate): fetch their
-        # features from the base by key instead of replicating all features.
-        firsts = (ranked.filter(F.col("_rn") <= F.col("_need"))
-                  .select("rep", *key_cols, *[f"_pre_{f}" for f in features])
-                  .join(base.select(*key_cols, *features), key_cols)
-                  .groupBy("rep").agg(*[(F.first(f"_pre_{f}") + F.sum(F.col(f).cast("double"))).alias(f)
-                                        for f in features]))
-        observed = [float(sizes[f"o_{f}"] or 0.0) for f in features]
-        rep0 = df.sparkSession.createDataFrame([(0, *observed)], ["rep", *features])
-        sums = firsts.unionByName(rep0.select(F.col("rep").cast("int").alias("rep"),
-                                              *[F.col(f).cast("double") for f in features]))
-        wide = sums.select("rep", *[(F.col(f) / n0 - (F.lit(float(sizes[f"t_{f}"] or 0.0)) - F.col(f)) / n1)
-                                    .alias(f) for f in features])
-    else:
-        cut = (ranked.filter(F.col("_rn") == F.col("_need"))
-               .select("rep", "_bstar", F.struct("_h", *key_cols).alias("_last")))
-        reps_full = base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
-        scored = (reps_full.join(F.broadcast(cut), "rep", "left")
-                  .withColumn("_h", F.when(F.col("rep") > 0, h))
-                  .withColumn("_b", F.when(F.col("rep") > 0, bucket)))
-        first = F.when(F.col("rep") == 0, is_first).otherwise(
-            (F.col("_b") < F.col("_bstar"))
-            | ((F.col("_b") == F.col("_bstar")) & (F.struct("_h", *key_cols) <= F.col("_last"))))
-        wide = scored.withColumn("_first", first).groupBy("rep").agg(
-            *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
+    reps = F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep")
+    cut = _cut_points(base.select(*key_cols, reps).withColumn("_h", h), n0, key_cols)
+    scored = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
+              .join(F.broadcast(cut), "rep", "left").withColumn("_h", h))     # ``size`` rows at most
+    first = F.when(F.col("rep") == 0, is_first).otherwise(F.struct("_h", *key_cols) <= F.col("_cut"))
+    wide = scored.withColumn("_first", first).groupBy("rep").agg(
+        *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
     body = ", ".join(f"'{f}', `{f}`" for f in features)
     return wide.selectExpr("rep", f"stack({len(features)}, {body}) AS (feature, stat)")
 

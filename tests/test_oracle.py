@@ -66,16 +66,26 @@ def test_no_cross_join_in_any_frame(spark, sf_small):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_generic_statistic_path_matches_fast_path(spark, sf_small):
-    """A statistic passed as a function takes the three-pass path; for the
-    difference of means it must give the same p-values as the fast path."""
+def test_cut_points_for_any_level_count(spark, monkeypatch):
+    """Refining the histogram further gives the same rows."""
+    from basketlab.functions.columns import mix_hash
     from basketlab.plans import stats
-    from basketlab.plans.catalog import _pipe
-    f = _pipe(spark, sf_small).train_frame
-    generic = lambda v, first: F.avg(F.when(first, v)) - F.avg(F.when(~first, v))
-    a = stats.permutation_pvalues(f, ["order_id", "product_id"], "labels", ["UP_orders", "order_dow"], 20)
-    b = stats.permutation_pvalues(f, ["order_id", "product_id"], "labels", ["UP_orders", "order_dow"], 20,
-                                  statistic=generic)
-    ra = {r.feature: (round(r.observed, 9), r.p_value) for r in a.collect()}
-    rb = {r.feature: (round(r.observed, 9), r.p_value) for r in b.collect()}
-    assert ra == rb
+    df = spark.range(3000).select("id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rep"))
+    df = df.withColumn("_h", mix_hash(["id"], "rep"))
+    rows = df.collect()
+    for small in (16384, 1):
+        monkeypatch.setattr(stats, "SMALL_BUCKET", small)
+        got = {r.rep: (r["_cut"]["_h"], r["_cut"]["id"]) for r in stats._cut_points(df, 700, ["id"]).collect()}
+        assert got == {k: sorted((r["_h"], r.id) for r in rows if r.rep == k)[699] for k in range(1, 6)}
+
+
+def test_replicates_are_independent(spark):
+    """Keys that collide in a packed form part in other replicates, and no
+    replicate repeats another one shifted."""
+    from basketlab.functions.columns import mix_hash
+    df = spark.createDataFrame([(1, 1000003), (2, 0), (1, 0), (2, 12572)], "a long, b long")
+    h = df.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(60))).alias("rep"))
+    rows = {(r.a, r.b, r.rep): r.h for r in h.select("a", "b", "rep", mix_hash(["a", "b"], "rep").alias("h")).collect()}
+    assert len(set(rows.values())) == len(rows)
+    ranks = [tuple(sorted(((rows[a, b, k], a, b) for a, b in ((1, 1000003), (2, 0), (1, 0)))))[0][1:] for k in range(1, 61)]
+    assert len(set(ranks)) == 3
