@@ -128,14 +128,3 @@ def consolidate_lines(lines: DataFrame) -> DataFrame:
                     F.col("_f.country").alias("country"),
                     "quantity",
                     F.col("_f.line_no").alias("line_no")))
-
-
-def clean_lines(raw: DataFrame, mode: str = "reference", codes: list[str] | None = None,
-                more_than: int = K.MIN_INVOICES_EXCLUSIVE) -> DataFrame:
-    """Q18: the whole cleansing chain, in the reference's step order.
-
-    Product codes are assigned after the code filter and before the customer
-    filter, so ids can have gaps afterwards (as in the reference).
-    """
-    lines = drop_codes(net_cancellations(drop_anonymous(raw), mode), codes)
-    return consolidate_lines(active_customers(encode_products(lines), more_than))

@@ -7,6 +7,7 @@ integers as bigint, fractions as double rounded to 6 places.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from basketlab.operators.candidates import label_candidates
 from basketlab.plans import eda, models, stats
 from basketlab.plans.pipeline import RetailPipeline
 from basketlab.session import file_listing, release_count
+from basketlab.sources.raw import SOURCE_NAMES, read_invoice_lines
+from basketlab.sources.sinks import read_tables, write_recommendations, write_tables
 from basketlab.sources.tables import read_table
 
 # Countries compared in Q9 (names as they occur in the test tables).
@@ -258,6 +261,51 @@ def q17_validation_f1(spark, base):
     return present(models.validation_f1(p.train_frame, p.order_products))
 
 
+# --- written and read back -------------------------------------------------------
+
+def _folder(spark, label):
+    from basketlab.session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/saved/{label}-{uuid.uuid4().hex}"
+
+
+def q_ingest_roundtrip(spark, base):
+    """A1, B2: the invoice lines as CSV with the original file's names."""
+    path = _folder(spark, "lines")
+    names = {v: k for k, v in SOURCE_NAMES.items()}
+    raw = _pipe(spark, base).raw
+    raw.select(*[F.col(c).alias(names.get(c, c)) for c in raw.columns]).write.option("header", "true").csv(path)
+    return present(read_invoice_lines(spark, path, "csv"))
+
+
+def q_saved_features(spark, base):
+    """A3-A5: a feature frame through the table sink and back."""
+    path = _folder(spark, "tables")
+    write_tables({"train_transformed": _pipe(spark, base).train_frame}, path)
+    return present(read_tables(spark, path, ["train_transformed"])["train_transformed"])
+
+
+def q_saved_recommendations(spark, base):
+    """The recommendation report as JSON and back."""
+    path, p = _folder(spark, "report"), _pipe(spark, base)
+    truth = p.truth("test")
+    per_order, kept = E.recommend(_fixed_scores(p.test_frame), truth)
+    report = E.recommendation_report(per_order, kept, truth)
+    write_recommendations(report, path, "json")
+    back = spark.read.schema(report.schema).json(path)
+    return present(back.select("order_id", ids_text("recommendations").alias("recommendations"),
+                               ids_text("ordered_products").alias("ordered_products"), "f1_score"))
+
+
+def q_user_products(spark, base):
+    """D10 as rows: the products each customer bought in prior orders."""
+    return present(_pipe(spark, base).up_base.select("user_id", "product_id"))
+
+
+def q_basket_lines(spark, base):
+    """D11 as rows: order, position, product."""
+    return present(_pipe(spark, base).order_products.select("order_id", "add_to_cart_order", "product_id", "eval_set"))
+
+
 # --- exploration ------------------------------------------------------------------
 
 def q1_orders_per_user(spark, base):
@@ -373,6 +421,11 @@ QUERIES: dict[str, QueryFn] = {
     "q17_validation_fixed_score": q17_validation_fixed_score,
     "q16_recommendations": q16_recommendations,
     "q17_validation_f1": q17_validation_f1,
+    "ingest_roundtrip": q_ingest_roundtrip,
+    "saved_features": q_saved_features,
+    "saved_recommendations": q_saved_recommendations,
+    "user_products": q_user_products,
+    "basket_lines": q_basket_lines,
     "q1_orders_per_user": q1_orders_per_user,
     "q2_products_per_order": q2_products_per_order,
     "q3_basket_averages": q3_basket_averages,

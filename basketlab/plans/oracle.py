@@ -423,6 +423,14 @@ WHERE c.country IN ({_countries()}) AND u.user_reorder_ratio IS NOT NULL GROUP B
     "perm_test_one_sided": _perm_sql([Q.PERM_FEATURE], K.PERMUTATION_REPLICATES, False),
 }
 
+SQL["ingest_roundtrip"] = _q(f"""
+SELECT order_id, stock, description, quantity, CAST(order_date AS TIMESTAMP) AS order_date,
+       {r6('unit_price')} AS unit_price, user_id, country, line_no FROM raw""")
+SQL["saved_features"] = SQL["q15_train_features"]
+SQL["saved_recommendations"] = SQL["q16_fixed_score"]
+SQL["user_products"] = _q("SELECT user_id, product_id FROM x_up")
+SQL["basket_lines"] = _q("SELECT order_id, add_to_cart_order, product_id, eval_set FROM x_op")
+
 _perm_feats = list(dict.fromkeys(K.TREE_FEATURES + K.LOGISTIC_FEATURES))
 _sets = " UNION ALL ".join([f"SELECT 'tree' AS feature_set, '{f}' AS feature" for f in K.TREE_FEATURES]
                            + [f"SELECT 'logistic' AS feature_set, '{f}' AS feature" for f in K.LOGISTIC_FEATURES])

@@ -78,7 +78,7 @@ class RetailPipeline:
     @cached_property
     def lines(self) -> DataFrame:
         """Kept lines with product codes (before the customer filter)."""
-        return self.kept.join(self.product_codes, "stock", "left")
+        return cleanse.encode_products(self.kept)
 
     @cached_property
     def clean(self) -> DataFrame:

@@ -38,17 +38,56 @@ CANCEL_RETURNFLAG = "R"
 CANCEL_LINESTATUS = "F"
 
 
-def read_invoice_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Ingest an invoice-line table with the declared schema (A1)."""
-    reader = spark.read.schema(RAW_SCHEMA)
-    if fmt == "csv":
-        reader = reader.option("header", "true")
-    return reader.format(fmt).load(path).select(*RAW_COLUMNS)
-
-
-def conform(df: DataFrame) -> DataFrame:
-    """Cast an already loaded frame to the invoice-line schema (B2)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields])
+# Column names of the original invoice file.
+SOURCE_NAMES = {"InvoiceNo": "order_id", "StockCode": "stock", "Description": "description", "Quantity": "quantity",
+                "InvoiceDate": "order_date", "UnitPrice": "unit_price", "CustomerID": "user_id", "Country": "country"}
+REQUIRED = [f.name for f in RAW_SCHEMA.fields if not f.nullable]
+
+
+def read_invoice_lines(spark: SparkSession, path: str, fmt: str = "parquet",
+                       line_order: list[str] | None = None) -> DataFrame:
+    """Ingest invoice lines (A1): the rows that conform. ``split_lines`` also
+    gives the rows that do not."""
+    return split_lines(load_lines(spark, path, fmt), line_order)[0]
+
+
+def load_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """The file as it is; text formats are read by column name, all as text."""
+    reader = spark.read.format(fmt)
+    return (reader.option("header", "true") if fmt == "csv" else reader).load(path)
+
+
+def split_lines(df: DataFrame, line_order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conforming lines, rejects) of a loaded frame (B2).
+
+    Columns are found by name, the original file's names included. Values are
+    cast with ``try_cast``; an invoice number may carry a letter in front (the
+    mark of a cancellation), which is dropped. A frame without ``line_no``
+    needs ``line_order``, columns that order the lines of an invoice. Rejects
+    keep their columns as text and name the required columns that are missing
+    or unreadable in ``reject_reason``."""
+    df = df.select(*[F.col(f"`{c}`").alias(SOURCE_NAMES.get(c, c)) for c in df.columns])
+    missing = [c for c in REQUIRED if c not in df.columns and c != "line_no"]
+    if missing:
+        raise ValueError(f"invoice lines without columns {missing}")
+    if "line_no" not in df.columns:
+        if not line_order:
+            raise ValueError("invoice lines need line_no, or line_order to make it")
+        df = window_within(df, ["order_id"], [SOURCE_NAMES.get(c, c) for c in line_order], "line_no")
+    texts = {c: F.col(c).cast("string") for c in df.columns}
+    texts["order_id"] = F.regexp_replace(texts["order_id"], "^[A-Za-z]", "")
+    texts["user_id"] = F.regexp_replace(texts["user_id"], r"\.0$", "")
+    typed = [texts[f.name].try_cast(f.dataType).alias(f.name) if f.name in texts
+             else F.lit(None).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA.fields]
+    both = df.select(F.struct(*[F.col(c).cast("string").alias(c) for c in df.columns]).alias("_as_read"), *typed)
+    bad = [F.when(F.col(c).isNull(), F.lit(c)) for c in REQUIRED]
+    # a customer that is given but unreadable is an error, a missing one is an anonymous line
+    given = F.col("_as_read.user_id").isNotNull() if "user_id" in df.columns else F.lit(False)
+    bad.append(F.when(F.col("user_id").isNull() & given & (F.trim("_as_read.user_id") != ""), F.lit("user_id"))
+               if "user_id" in df.columns else F.lit(None).cast("string"))
+    both = both.withColumn("reject_reason", F.concat_ws(",", *bad))
+    return (both.where("reject_reason = ''").select(*RAW_COLUMNS),
+            both.where("reject_reason <> ''").select("_as_read.*", "reject_reason"))
 
 
 def invoice_lines_from_tables(spark: SparkSession, base_dir: str) -> DataFrame:
