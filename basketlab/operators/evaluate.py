@@ -42,17 +42,17 @@ def true_baskets(order_products: DataFrame, eval_set: str | None = None) -> Data
 
 
 def f1_by_order(kept: DataFrame, truth: DataFrame) -> DataFrame:
-    """Basket F1 per predicted order, from counts and a pair join (no
-    per-order list is built). Orders with no true basket score 0."""
-    n_pred = kept.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_pred"))
+    """Basket F1 per predicted order, from counts (no per-order list is
+    built, and ``kept`` is read once). Orders with no true basket score 0.
+    ``truth`` holds a product once per order."""
+    hit = truth.select("order_id", "product_id", F.lit(1).alias("_hit"))
+    counts = (kept.select("order_id", "product_id").join(hit, ["order_id", "product_id"], "left")
+              .groupBy("order_id").agg(F.count(F.lit(1)).alias("n_pred"), F.count("_hit").alias("tp")))
     n_true = truth.groupBy("order_id").agg(F.count(F.lit(1)).alias("n_true"))
-    tp = (kept.select("order_id", "product_id").join(truth.select("order_id", "product_id"),
-                                                     ["order_id", "product_id"])
-          .groupBy("order_id").agg(F.count(F.lit(1)).alias("tp")))
     f1 = F.coalesce(ratio(F.col("tp") * 2, F.col("n_pred") + F.col("n_true")), F.lit(0.0))
-    return (n_pred.join(n_true, "order_id", "left").join(tp, "order_id", "left")
-            .select("order_id", F.coalesce("tp", F.lit(0)).cast("long").alias("tp"), "n_pred",
-                    F.coalesce("n_true", F.lit(0)).cast("long").alias("n_true"), f1.alias("f1_score")))
+    return (counts.join(n_true, "order_id", "left")
+            .select("order_id", "tp", "n_pred", F.coalesce("n_true", F.lit(0)).cast("long").alias("n_true"),
+                    f1.alias("f1_score")))
 
 
 def recommend(scores: DataFrame, truth: DataFrame, threshold: float = K.THRESHOLD,

@@ -101,3 +101,19 @@ def validation_f1(frame: DataFrame, order_products: DataFrame, settings: ModelSe
     truth = order_products.join(val.select("order_id").distinct(), "order_id", "left_semi")
     per_order, _ = E.recommend(predictions_for_cut(score(models, val)), E.true_baskets(truth), threshold)
     return E.mean_f1(per_order)
+
+
+def threshold_sweep(scores: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Mean F1 of one set of scores at each threshold (threshold, mean_f1,
+    n_orders), to tune the cut on the validation users. Predictions are
+    ranked once; a prediction counts for every threshold below its score."""
+    at = F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")
+    ranked = E.rank_predictions(scores).where(F.col("pred_rank") < F.col("prior_size_max"))
+    kept = ranked.select("order_id", "product_id", "pred_rank", "pred", at).where(
+        (F.col("pred_rank") == 0) | (F.col("pred") > F.col("threshold")))
+    hit = truth.select("order_id", "product_id", F.lit(1).alias("_hit"))
+    n_true = truth.groupBy("order_id").agg(F.count(F.lit(1)).alias("_true"))
+    per_order = (kept.join(hit, ["order_id", "product_id"], "left").groupBy("threshold", "order_id")
+                 .agg(F.count(F.lit(1)).alias("_pred"), F.count("_hit").alias("_tp")).join(n_true, "order_id", "left"))
+    f1 = F.coalesce(F.try_divide(F.col("_tp") * 2.0, F.col("_pred") + F.col("_true")), F.lit(0.0))
+    return per_order.groupBy("threshold").agg(F.avg(f1).alias("mean_f1"), F.count(F.lit(1)).alias("n_orders"))
