@@ -97,7 +97,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
     rows = rows.withColumn("h", F.expr("null").cast("array<bigint>"))
     for n in range(MIN_LITERAL, WINDOW + 1):
         rows = rows.withColumn("h", F.when(F.col("size") == n, _windows(F.col("tokens"), n)).otherwise(F.col("h")))
-    rows = rows.select("item", "size", "tokens", F.posexplode("h").alias("at", "h"))
+    rows = rows.select("item", "size", "tokens", F.posexplode_outer("h").alias("at", "h")).where("h is not null")
     part = F.slice("tokens", F.col("at") + 1, F.col("size"))
     literal = F.filter(part, lambda x: ~x["t"].isin(NUM, UNIT, NAME))
     rows = rows.where(F.size(literal) >= MIN_LITERAL)
@@ -116,7 +116,7 @@ def candidates(docs: DataFrame, bench: DataFrame, id_col: str, text_col: str) ->
     anchors = materialize(bench.select("a1", "a2").distinct(), "anchors")
     words = (docs.select(F.col(id_col).cast("long").alias("id"),
                          F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)).alias("w")).where("id is not null")
-             .select("id", F.inline(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 1 << 30).alias("y")))))
+             .select("id", F.inline_outer(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, 1 << 30).alias("y")))))
     found = words.join(anchors, (F.lower("x") == F.col("a1")) & (F.lower("y") == F.col("a2")), "left_semi")
     return materialize(found.select("id").distinct(), "candidates")
 
@@ -135,8 +135,11 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
               .join(ids, "id", "left_semi").select("id", template("_text").alias("tokens")))
     hashed = tokens.select("id", F.array(*[F.struct(F.lit(n).alias("size"), _windows(F.col("tokens"), n).alias("h"))
                                            for n in sizes or [WINDOW]]).alias("w"))
-    spread = (hashed.select("id", F.explode("w").alias("w"))
-              .select("id", F.col("w.size").alias("size"), F.posexplode("w.h").alias("pos", "h")))
+    # the outer forms: for the others the optimizer adds filters that evaluate the arrays again; the window array
+    # is named alone before it is exploded, so that no row of the result carries it
+    spread = (hashed.select("id", F.explode_outer("w").alias("w"))
+              .select("id", F.col("w.size").alias("size"), F.col("w.h").alias("hs"))
+              .select("id", "size", F.posexplode_outer("hs").alias("pos", "h")))
     hits = materialize(spread.join(keys, (F.col("h") == F.col("ih")) & (F.col("size") == F.col("isize")))
                        .select("id", "pos", "item", "at", "slotted",
                                (F.col("pos") - F.col("at")).alias("diagonal")).distinct(), "hits")
@@ -145,7 +148,7 @@ def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     slotted = hits.where("slotted")
     wanted = materialize(slotted.select("id").distinct(), "slotted")
     texts = (tokens.join(wanted, "id", "left_semi")
-             .select("id", F.posexplode("tokens").alias("dpos", "token")).select("id", "dpos", F.col("token.v").alias("dv")))
+             .select("id", F.posexplode_outer("tokens").alias("dpos", "token")).select("id", "dpos", F.col("token.v").alias("dv")))
     slots = (slotted.join(bench.select("item", "at", "slots"), ["item", "at"])
              .select("id", "item", "diagonal", F.explode("slots").alias("slot"))
              .select("id", "item", "diagonal", F.col("slot.p").alias("p"), F.col("slot.v").alias("iv")).distinct()
