@@ -245,7 +245,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     copies = materialize(worded.select("id", "k1", "k2").join(same, ["k1", "k2"]).select("id", "copy_of"), "copies")
     heads = same.select(F.col("copy_of").alias("id"), "k1", "k2")
     reps = worded.join(heads, ["id", "k1", "k2"], "left_semi")
-    cells = reps.select("id", "n", F.explode("bands").alias("band")).distinct()
+    cells = reps.select("id", F.explode("bands").alias("band"))     # repeated rows repeat cells, which changes nothing
     hubs = cells.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     near = cells.join(hubs.select("band", "hub"), "band").where("id <> hub").select("id", "hub").distinct()
     family = materialize(connected_components(near, "id", "hub").select(

@@ -136,7 +136,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = table.groupBy("node").agg(F.min(F.struct("id", "at")).alias("first"))
     nodes = materialize(nodes.select("node", "first.id", "first.at"), "nodes")
     cells = (table.join(nodes, ["node", "id", "at"], "left_semi")
-             .select("node", "n", F.explode("bands").alias("band")).distinct())
+             .select("node", F.explode("bands").alias("band")))     # repeated rows repeat cells, which changes nothing
     hubs = cells.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
     near = cells.join(hubs.select("band", "hub"), "band").where("node <> hub").select("node", "hub").distinct()
     family = materialize(connected_components(near, "node", "hub").select(
