@@ -46,10 +46,10 @@ from basketlab.llm.suffix import permuted_prefixes, suffix_array
 from basketlab.session import materialize
 
 WIDTH, GRAM = 100, 32
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 PART_BYTES = 1 << 20
-SHARD_BYTES = 64 << 20        # input bytes for each shard of anchors
-SUFFIX_BYTES = 2 << 20        # context bytes for each suffix array
+SHARD_BYTES = 24 << 20        # input bytes for each shard of anchors
+SUFFIX_BYTES = 1 << 20        # context bytes for each suffix array
 HOT_CONTEXTS = 5000
 LAST = np.iinfo(np.int64).max
 _BYTE = mix(np.arange(1, 257).astype(U))
@@ -334,6 +334,13 @@ def repeated_ranges(table: DataFrame) -> DataFrame:
     return gone.unionByName(compared)
 
 
+def _running(flags: np.ndarray) -> np.ndarray:
+    """Number of flags set before each position."""
+    out = np.zeros(len(flags) + 1, np.int32 if len(flags) < 1 << 31 else np.int64)
+    np.cumsum(flags, out=out[1:], dtype=out.dtype)
+    return out
+
+
 def cut_texts(table: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row."""
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
@@ -349,17 +356,17 @@ def cut_texts(table: DataFrame, ranges: DataFrame, with_text: bool = False) -> D
         row = gone.column("row").to_numpy()
         np.add.at(edge, offs[row] + gone.column("lo").to_numpy(), 1)
         np.add.at(edge, offs[row] + gone.column("hi").to_numpy(), -1)
-        off = np.cumsum(edge[:-1]) > 0
+        off = np.cumsum(edge[:-1], dtype=np.int32) > 0
         begin = off.copy()
         begin[1:] &= ~off[:-1]
         first = offs[:-1][np.diff(offs) > 0]
         begin[first] = off[first]
-        removed = np.append(0, np.cumsum(off))
-        spans = np.append(0, np.cumsum(begin))
+        removed = _running(off)
+        spans = _running(begin)
         kept = raw[~off].tobytes()
-        at = offs - removed[offs]
+        at = offs - removed[offs].astype(np.int64)
         parts = [kept[a:b] for a, b in zip(at[:-1], at[1:])]
-        cols = [t.column("id"), np.diff(offs), np.diff(removed[offs]), np.diff(spans[offs]),
+        cols = [t.column("id"), np.diff(offs), np.diff(removed[offs]).astype(np.int64), np.diff(spans[offs]).astype(np.int64),
                 [hashlib.sha256(p).hexdigest() for p in parts]] + ([parts] if with_text else [])
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c, f[1]) for c, f in zip(cols, fields)],
                         schema=schema)
