@@ -20,7 +20,7 @@ Documents are joined in these steps:
    Components of these pairs are families: all candidates of a document lie
    in its family.
 3. Within a family every pair is compared exactly on its elements, in blocks
-   of bounded size: a family is cut into blocks by hash and each pair of
+   of bounded elements and rows: a family is cut into blocks by hash and each pair of
    blocks is one small group, compared by sparse counts. Only a spanning set
    of the links found there leaves the group. So a family may have any size
    and no link between different texts is lost.
@@ -49,6 +49,8 @@ BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 TEXT_BYTES = 1 << 20
 BLOCK_ELEMENTS = 1 << 17
+BLOCK_ROWS = 2048
+TILE_ROWS = 1024
 _GOLD = U(0x9E3779B97F4A7C15)
 
 
@@ -141,10 +143,11 @@ def element_table(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
 
 
 def links_within(ids: np.ndarray, sides: np.ndarray, e: np.ndarray, offs: np.ndarray,
-                 similarity: float = SIMILARITY, columns: int = 2048) -> list[tuple[int, int]]:
+                 similarity: float = SIMILARITY, columns: int = 2048, tile: int = TILE_ROWS) -> list[tuple[int, int]]:
     """A spanning set of the links of one group of documents: pairs of equal
     ``similarity`` or more. ``sides``: with two blocks in the group (0 and
-    1), pairs within a block are left to that block's own group."""
+    1), pairs within a block are left to that block's own group. Compared
+    are ``tile`` rows at a time with all rows after them."""
     n = len(ids)
     size = np.diff(offs)
     of = np.repeat(np.arange(n), size)
@@ -156,31 +159,41 @@ def links_within(ids: np.ndarray, sides: np.ndarray, e: np.ndarray, offs: np.nda
     shared = df[col] > 1
     number = np.cumsum(df > 1) - 1
     col, owner = number[col[shared]], owner[shared]
-    common = np.zeros((n, n), np.float32)
     total = int(col[-1]) + 1 if len(col) else 0
-    for c in range(0, total, columns):
-        a, b = np.searchsorted(col, (c, c + columns))
-        m = np.zeros((n, min(columns, total - c)), np.float32)
-        m[owner[a:b], col[a:b] - c] = 1
-        common += m @ m.T
-    union = size[:, None] + size[None] - common
-    link = np.triu(common >= similarity * union - 1e-6, 1)
-    if len(set(sides.tolist())) > 1:
-        link &= sides[:, None] != sides[None]
-    parent = np.arange(n)
-
-    def root(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    by_owner = np.argsort(owner, kind="stable")     # for one tile: its shared elements, still in order of columns
+    bound = np.searchsorted(owner[by_owner], np.arange(n + 1))
+    two = len(set(sides.tolist())) > 1
+    label = np.arange(n)                            # smallest member of each component found so far
     out = []
-    for i, j in zip(*np.nonzero(link)):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            out.append((int(ids[i]), int(ids[j])))
+    for t in range(0, n, tile):
+        rows = np.arange(t, min(t + tile, n))
+        mine = by_owner[bound[rows[0]]:bound[rows[-1] + 1]]
+        mine = mine[np.argsort(col[mine], kind="stable")]
+        common = np.zeros((len(rows), n - t), np.float32)
+        for c in range(0, total, columns):
+            wide = min(columns, total - c)
+            x, y = np.searchsorted(col[mine], (c, c + columns))
+            if x == y:
+                continue
+            left = np.zeros((len(rows), wide), np.float32)
+            left[owner[mine[x:y]] - t, col[mine[x:y]] - c] = 1
+            x, y = np.searchsorted(col, (c, c + columns))
+            after = np.flatnonzero(owner[x:y] >= t) + x
+            right = np.zeros((n - t, wide), np.float32)
+            right[owner[after] - t, col[after] - c] = 1
+            common += left @ right.T
+        for k, i in enumerate(rows):
+            union = size[i] + size[i + 1:] - common[k, i + 1 - t:]
+            link = common[k, i + 1 - t:] >= similarity * union - 1e-6
+            if two:
+                link &= sides[i + 1:] != sides[i]
+            near = np.flatnonzero(link) + i + 1
+            near = near[label[near] != label[i]]
+            if len(near):
+                found, at = np.unique(label[near], return_index=True)
+                out += [(int(ids[i]), int(ids[j])) for j in near[at]]
+                joined = np.append(found, label[i])
+                label[np.isin(label, joined)] = joined.min()
     return out
 
 
@@ -204,10 +217,10 @@ def _grouped(batches, key_cols):
 
 def blocks_of(family: DataFrame, sizes: DataFrame) -> DataFrame:
     """(id, family, block, blocks): families of more than BLOCK_ELEMENTS
-    elements are cut into several blocks by hash."""
+    elements or BLOCK_ROWS rows are cut into several blocks by hash."""
     rows = family.join(sizes, "id")
-    total = rows.groupBy("family").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int")
+    total = rows.groupBy("family").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    blocks = F.greatest(F.ceil(F.col("total") / BLOCK_ELEMENTS), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("int")
     return rows.join(total, "family").select("id", "family", blocks.alias("blocks")).select(
         "id", "family", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "blocks")
 

@@ -91,6 +91,49 @@ def test_family_blocks_lose_no_link(spark, monkeypatch):
     assert [want.root(i) for i in range(40)] == [got.root(i) for i in range(40)]
 
 
+def test_blocks_of_short_rows_are_bounded(spark):
+    """A family of many short lines: blocks bounded by rows, every row in one block."""
+    rows = spark.range(9000).select("id")
+    family = rows.selectExpr("id", "1L as family")
+    blocks = N.blocks_of(family, rows.selectExpr("id", "6 as n")).groupBy("block").count().collect()
+    assert sum(r["count"] for r in blocks) == 9000
+    assert max(r["count"] for r in blocks) < 1.2 * N.BLOCK_ROWS
+
+
+def test_many_short_rows_within_memory():
+    """Near-equal lines compared in tiles: all links, without a matrix of all pairs."""
+    import tracemalloc
+    n = 4000
+    e = np.concatenate([np.append(np.arange(9), 100 + k % 1000) for k in range(n)]).astype(np.uint64)
+    tracemalloc.start()
+    got = N.links_within(np.arange(n), np.zeros(n, int), e, np.arange(n + 1) * 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    u = Union()
+    for a, b in got:
+        u.join(a, b)
+    assert len(got) == n - 1 and {u.root(k) for k in range(n)} == {0}
+    assert peak < 150 << 20
+
+
+@pytest.mark.parametrize("tile", [1, 7, 64])
+def test_tiles_lose_no_link(tile):
+    rng = np.random.default_rng(1)
+    e = [sorted(set(rng.integers(0, 60, 50).tolist())) for _ in range(40)]
+    sides = np.arange(40) % 2
+    for s in (np.zeros(40, int), sides):
+        want, got = Union(), Union()
+        for i in range(40):
+            for j in range(i):
+                a, b = set(e[i]), set(e[j])
+                if len(a & b) >= 0.6 * len(a | b) and (s is not sides or s[i] != s[j]):
+                    want.join(i, j)
+        for x, y in N.links_within(np.arange(40), s, np.concatenate(e).astype(np.uint64),
+                                   np.append(0, np.cumsum([len(x) for x in e])), 0.6, columns=16, tile=tile):
+            got.join(x, y)
+        assert [want.root(i) for i in range(40)] == [got.root(i) for i in range(40)]
+
+
 def test_paragraphs_against_brute_force(docs, rows, nothing):
     got = {(r.id, r.at) for r in P.repeated_paragraphs(docs).collect()}
     every = sorted({(i, k, x) for i, t, *_ in rows if i is not None for k, x in enumerate((t or "").split("\n"))
