@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,39 @@ def test_paragraphs_against_brute_force(docs, rows, nothing):
     assert P.repeated_paragraphs(nothing).count() == 0
 
 
+def test_passages_inside_longer_lines(spark, rows):
+    """Planted passages in lines that otherwise differ, against every run of words."""
+    from tests.llm.conftest import prose
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    made = [(100 + k, f"{prose(rng, 200 + k)} {passage.upper() if k == 2 else passage} {prose(rng, 300)}", "x") for k in range(4)]
+    made.append((104, f"{prose(rng, 20)}\n{prose(rng, 30)} " + passage.replace(" ", "\n", 30) + f" {prose(rng, 9)}", "x"))
+    made.append((105, f"{prose(rng, 200)} {' '.join(passage.split()[:49])} {prose(rng, 200)}", "x"))
+    made += [(i, t, "x") for i, t, *_ in rows]
+    docs = spark.createDataFrame(made, "doc_id long, text string, t string").repartition(3)
+    order = sorted({(i, t) for i, t, _ in made if i is not None and t is not None})
+    first, want = {}, collections.defaultdict(set)
+    for i, t in order:
+        w = t.lower().split()
+        for p in range(len(w) - P.PASSAGE + 1):
+            x = tuple(w[p:p + P.PASSAGE])
+            if first.setdefault(x, (i, p)) != (i, p):
+                want[i].update(range(p, p + P.PASSAGE))
+    got = collections.defaultdict(set)
+    for r in P.repeated_passages(docs).collect():
+        assert not got[r.id] & set(range(r.lo, r.hi + 1))
+        got[r.id].update(range(r.lo, r.hi))
+    assert got == want and len(want[101]) >= 60 and len(want[104]) >= 60 and 105 not in want
+    lines = {(r.id, r.at) for r in P.repeated_paragraphs(docs).collect()}
+    assert not any(i in range(100, 106) for i, _ in lines)
+    kept = {r.doc_id: r.text for r in P.drop_repeats(docs).collect()}
+    for i in range(100, 106):
+        w = dict(order)[i].split()
+        assert kept[i].split() == [x for k, x in enumerate(w) if k not in want[i]]
+        assert kept[i].count("\n") == dict(order)[i].count("\n")
+    assert P.repeated_passages(docs.limit(0)).count() == 0
+
+
 def test_band_count_follows_recall():
     b = P.tuned_bands(0.8, 0.999, 3)
     assert 1 - (1 - 0.8 ** 3) ** b >= 0.999 > 1 - (1 - 0.8 ** 3) ** (b - 1)
