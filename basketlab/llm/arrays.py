@@ -9,6 +9,7 @@ large the batch is; a text longer than the bound is a block of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +58,31 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def row_blocks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Give freed memory back to the system, and drop the cached powers."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(work):
+    """The mapInArrow function ``work``, calling ``release`` when a partition
+    ends: Spark's Python workers live on and serve later stages."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+    return run
+
+
+def row_blocks(batch: pa.RecordBatch, column: str, max_bytes: int,
+               max_rows: int | None = None) -> Iterator[pa.RecordBatch]:
     """Consecutive row slices whose ``column`` holds at most ``max_bytes``
     bytes each, a row counting ROW_BYTES more than its text (one longer text
-    makes a slice of its own)."""
+    makes a slice of its own), and at most ``max_rows`` rows."""
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -69,6 +91,8 @@ def row_blocks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[p
     while start < len(ends):
         before = ends[start - 1] if start else 0
         stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+        if max_rows:
+            stop = min(stop, start + max_rows)
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import U, as_long, mix, row_blocks, uniform
+from basketlab.llm.arrays import U, as_long, lean, mix, row_blocks, uniform
 from basketlab.llm.components import connected_components
 from basketlab.llm.shingles import WIDTH, _elements, _sequence_keys, _words, elements
 from basketlab.llm.store import read
@@ -48,6 +48,7 @@ from basketlab.session import materialize
 BANDS, ROWS = 24, 5
 SIMILARITY = 0.8
 TEXT_BYTES = 1 << 20
+SIGN_BYTES, SIGN_ROWS = 1 << 18, 256      # a document throws about 815 darts however short it is
 BLOCK_ELEMENTS = 1 << 17
 BLOCK_ROWS = 2048
 TILE_ROWS = 1024
@@ -112,7 +113,7 @@ def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n, k1, k2, bands) of every row with an id, as a written table."""
     def sign(batches):
         for batch in batches:
-            for b in row_blocks(batch, "text", TEXT_BYTES):
+            for b in row_blocks(batch, "text", SIGN_BYTES, SIGN_ROWS):
                 h, row, n = _words(b.column("text"))
                 e, offs = _elements(h, row, n, WIDTH)
                 k1, k2, _ = _sequence_keys(h, row, n)
@@ -125,7 +126,7 @@ def signature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return materialize(plain.where("id is not null").mapInArrow(
-        sign, "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
+        lean(sign), "id long, n long, k1 long, k2 long, bands array<long>"), "signatures")
 
 
 def element_table(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -139,11 +140,11 @@ def element_table(docs: DataFrame, members: DataFrame, id_col: str, text_col: st
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return plain.join(members, "id").select("id", "family", "block", "blocks", "text").mapInArrow(
-        cut, "id long, family long, block int, blocks int, elements array<long>")
+        lean(cut), "id long, family long, block int, blocks int, elements array<long>")
 
 
 def links_within(ids: np.ndarray, sides: np.ndarray, e: np.ndarray, offs: np.ndarray,
-                 similarity: float = SIMILARITY, columns: int = 2048, tile: int = TILE_ROWS) -> list[tuple[int, int]]:
+                 similarity: float = SIMILARITY, columns: int = 1024, tile: int = TILE_ROWS) -> list[tuple[int, int]]:
     """A spanning set of the links of one group of documents: pairs of equal
     ``similarity`` or more. ``sides``: with two blocks in the group (0 and
     1), pairs within a block are left to that block's own group. Compared
@@ -244,7 +245,7 @@ def family_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     keys = ["family", "a", "b"]
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "u long, v long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(compare), "u long, v long")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -254,12 +255,14 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     the smallest id of the near-duplicate class."""
     sig = signature_table(docs, id_col, text_col, bands, rows)
     worded = sig.where("n > 0")
-    same = worded.groupBy("k1", "k2").agg(F.min("id").alias("copy_of"))
+    # written before it is joined, so that a large group of copies meets one row and its partition can be split
+    same = materialize(worded.groupBy("k1", "k2").agg(F.min("id").alias("copy_of")), "same")
     copies = materialize(worded.select("id", "k1", "k2").join(same, ["k1", "k2"]).select("id", "copy_of"), "copies")
     heads = same.select(F.col("copy_of").alias("id"), "k1", "k2")
     reps = worded.join(heads, ["id", "k1", "k2"], "left_semi")
     cells = reps.select("id", F.explode("bands").alias("band"))     # repeated rows repeat cells, which changes nothing
-    hubs = cells.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
+    hubs = materialize(cells.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("last"))
+                       .where("hub < last"), "hubs")
     near = cells.join(hubs.select("band", "hub"), "band").where("id <> hub").select("id", "hub").distinct()
     family = materialize(connected_components(near, "id", "hub").select(
         F.col("node").alias("id"), F.col("component").alias("family")), "families")

@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import flat, row_blocks
+from basketlab.llm.arrays import flat, lean, row_blocks
 from basketlab.llm.store import read
 
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 MOST_STRINGS, MOST_CLASS = 64, 8
 
 
@@ -216,7 +216,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
                     [("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))], ["id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(scan, "id long, spans array<struct<kind:string,start:long,end:long>>")
+    return rows.mapInArrow(lean(scan), "id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text",
@@ -250,7 +250,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "te
                         b = b.set_column(j, b.schema.field(j), pa.array(n, b.schema.field(j).type))
                 yield b
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(lean(clean), schema)
 
 
 def _joined(spans) -> F.Column:

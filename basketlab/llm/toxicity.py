@@ -34,14 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import NOT_ALNUM, flat, row_blocks, word_hashes
+from basketlab.llm.arrays import NOT_ALNUM, flat, lean, row_blocks, word_hashes
 from basketlab.llm.labelled import fit_sample, remainder
 from basketlab.llm.store import read
 
 BUCKET_BITS = 16
 WIDTHS = (1, 2, 3)
 MAX_FIT_ROWS = 6000
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def word_ids(texts: pa.Array, bits: int = BUCKET_BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def toxicity_scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"),
                        F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(score, "id long, lang string, score double")
+    scored = rows.mapInArrow(lean(score), "id long, lang string, score double")
     at = F.lit(overall)
     for lang, t in by_lang.items():
         at = F.when(F.col("lang") == lang, t).otherwise(at)
@@ -280,7 +280,7 @@ def keep_clean(docs: DataFrame, model, text_col: str = "text", lang_col: str = "
                 at = np.array([by_lang.get(x, overall) for x in b.column(lang_col).to_pylist()])
                 yield b.filter(pa.array(s < at))
 
-    return docs.mapInArrow(clean, schema)
+    return docs.mapInArrow(lean(clean), schema)
 
 
 def train_rows(id_col: str = "doc_id") -> F.Column:
