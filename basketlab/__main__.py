@@ -5,7 +5,12 @@
   python -m basketlab validate  --input DIR             mean F1 on a user-level validation split
 
 ``--input`` is a directory of the star-schema test tables, or with
-``--lines`` a Parquet invoice-line table in the library's schema.
+``--lines`` an invoice-line file in the library's schema or with the original
+file's column names, in any format Spark reads (``--format csv``); a file
+without ``line_no`` names the columns that order the lines of an invoice
+(``--line-order StockCode``). Lines that do not conform are left out and
+counted; ``--rejects DIR`` keeps them. ``tables --publish`` switches OUT to the new
+set of tables at once.
 """
 
 from __future__ import annotations
@@ -17,14 +22,20 @@ from pyspark.sql import functions as F
 from basketlab.operators import evaluate as E
 from basketlab.plans import models
 from basketlab.plans.pipeline import RetailPipeline
-from basketlab.session import build_session
-from basketlab.sources.raw import read_invoice_lines
-from basketlab.sources.sinks import write_recommendations, write_tables
+from basketlab.session import build_session, materialize
+from basketlab.sources.raw import load_lines, split_lines
+from basketlab.sources.sinks import publish_tables, write_recommendations, write_tables
 
 
 def _pipeline(spark, args) -> RetailPipeline:
     if args.lines:
-        return RetailPipeline(read_invoice_lines(spark, args.input), mode=args.mode)
+        order = [c for c in (args.line_order or "").split(",") if c]
+        lines, rejects = split_lines(load_lines(spark, args.input, args.format), order or None)
+        if args.rejects:
+            rejects.write.mode("overwrite").parquet(args.rejects)
+        print(f"lines left out: {rejects.count()}")
+        codes = None if args.codes is None else [c for c in args.codes.split(",") if c]
+        return RetailPipeline(materialize(lines, "invoice_lines"), mode=args.mode, codes=codes)
     return RetailPipeline.from_dir(spark, args.input, mode=args.mode)
 
 
@@ -33,8 +44,13 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("command", choices=["tables", "recommend", "validate"])
     ap.add_argument("--input", required=True)
     ap.add_argument("--out")
-    ap.add_argument("--lines", action="store_true", help="input is an invoice-line Parquet table")
-    ap.add_argument("--mode", default="reference", choices=["reference", "net_total"])
+    ap.add_argument("--lines", action="store_true", help="input is an invoice-line file")
+    ap.add_argument("--format", default="parquet", help="format of an invoice-line file")
+    ap.add_argument("--line-order", help="columns that order the lines of an invoice, comma-separated")
+    ap.add_argument("--rejects", help="folder for lines that do not conform")
+    ap.add_argument("--codes", help="codes that are no products, comma-separated (default: the original file's)")
+    ap.add_argument("--publish", action="store_true", help="switch OUT to the new tables at once")
+    ap.add_argument("--mode", default="reference", choices=["reference", "net_total", "fifo"])
     ap.add_argument("--master")
     ap.add_argument("--rounds", type=int, help="boosting rounds (default: the reference's 100)")
     ap.add_argument("--threshold", type=float, default=0.09)
@@ -46,7 +62,8 @@ def main(argv: list[str] | None = None) -> None:
     if args.rounds:
         settings = settings.with_rounds(args.rounds)
     if args.command == "tables":
-        write_tables(p.tables(), args.out, partition_by={"order_products": ["eval_set"]})
+        (publish_tables if args.publish else write_tables)(
+            p.tables(), args.out, partition_by={"order_products": ["eval_set"]})
     elif args.command == "recommend":
         truth = p.truth("test")
         scored = models.score(models.fit_models(p.train_frame, settings), p.test_frame)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from basketlab import constants as K
 from basketlab.operators.indexing import dense_index
+from basketlab.operators.sequence import number_within
 
 _NET_KEY = ["user_id", "stock"]
 
@@ -27,52 +28,62 @@ def net_cancellations(lines: DataFrame, mode: str = "reference") -> DataFrame:
     quantity and are summed later, so each line is returned once with
     ``quantity`` = sum of its surviving copies and ``copies`` = their number.
 
-    No pair is materialised: cancellations are pre-aggregated per
-    (customer, code, magnitude), merged with the distinct purchase quantities
-    of the same (customer, code) and a running count/sum over magnitudes gives,
-    for each purchase quantity q, the cancellations with |c| < q. The window
+    No pair is materialised. Lines are first left-joined with the totals of
+    their (customer, code); those without a cancellation, nearly all, are done.
+    For the others, cancellations are pre-aggregated per (customer, code,
+    magnitude), merged with the distinct purchase quantities of the same
+    (customer, code), and a running count and sum over magnitudes gives, for
+    each purchase quantity q, the cancellations with |c| < q. The window
     partitions hold distinct quantity values only, so a customer-code with a
     huge number of lines does not make a big partition.
 
     mode='net_total' subtracts the total cancelled quantity of the
     (customer, code) from every purchase line (one copy each).
 
-    Lines with quantity <= 0 never survive in either mode.
+    mode='fifo' gives that total out over the purchase lines of the (customer,
+    code) in time order (order_date, order_id, line_no): the units bought
+    are numbered through by a running sum, the first ones are the cancelled
+    ones, and a line keeps its units beyond them. Only lines with a
+    cancellation are numbered, by ``number_within``, so a reseller may hold
+    any share of them.
+
+    Lines with quantity <= 0 never survive in any mode.
     """
+    if mode not in ("reference", "net_total", "fifo"):
+        raise ValueError(f"unknown cancellation mode {mode!r}")
     q = F.col("quantity")
-    purchases = lines.filter(q > 0)
     cancels = lines.filter(q < 0)
+    totals = cancels.groupBy(*_NET_KEY).agg(F.sum("quantity").alias("_cancelled"))
+    purchases = lines.filter(q > 0).join(totals, _NET_KEY, "left")
     if mode == "net_total":
-        totals = cancels.groupBy(*_NET_KEY).agg(F.sum("quantity").alias("_cancelled"))
-        return (purchases.join(totals, _NET_KEY, "left")
-                .withColumn("quantity", q + F.coalesce(F.col("_cancelled"), F.lit(0)))
+        return (purchases.withColumn("quantity", q + F.coalesce(F.col("_cancelled"), F.lit(0)))
                 .withColumn("copies", F.lit(1).cast("long"))
                 .filter(F.col("quantity") > 0)
                 .drop("_cancelled"))
-    if mode != "reference":
-        raise ValueError(f"unknown cancellation mode {mode!r}")
+    clear = purchases.filter(F.col("_cancelled").isNull()).drop("_cancelled").withColumn("copies", F.lit(1).cast("long"))
+    touched = purchases.filter(F.col("_cancelled").isNotNull())
+    if mode == "fifo":
+        numbered = number_within(touched, _NET_KEY, ["order_date", "order_id", "line_no"], "_nth",
+                                 sums={"quantity": "_before"})
+        gone = F.greatest(F.lit(0), F.least(q, -F.col("_cancelled") - F.col("_before")))
+        netted = numbered.withColumn("quantity", (q - gone).cast("long")).filter(F.col("quantity") > 0)
+        return clear.unionByName(netted.drop("_cancelled", "_nth", "_before").withColumn("copies", F.lit(1).cast("long")))
 
     by_size = (cancels.groupBy(*_NET_KEY, (-q).alias("_k"))
                .agg(F.count(F.lit(1)).alias("_n"), F.sum("quantity").alias("_s"))
                .withColumn("_kind", F.lit(1)))
-    sizes = (purchases.select(*_NET_KEY, q.alias("_k")).distinct()
+    sizes = (touched.select(*_NET_KEY, q.alias("_k")).distinct()
              .select(*_NET_KEY, "_k", F.lit(0).cast("long").alias("_n"),
                      F.lit(0).cast("long").alias("_s"), F.lit(0).alias("_kind")))
     running = (Window.partitionBy(*_NET_KEY).orderBy("_k", "_kind")
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     prefix = (sizes.unionByName(by_size)
-              .select(*_NET_KEY, "_k", "_kind",
-                      F.sum("_n").over(running).alias("_cn"),
-                      F.sum("_s").over(running).alias("_cs"),
-                      F.sum("_n").over(Window.partitionBy(*_NET_KEY)).alias("_tn"))
-              .filter(F.col("_kind") == 0)
-              .drop("_kind"))
-    no_cancel = F.col("_tn") == 0
-    return (purchases.join(prefix.withColumnRenamed("_k", "quantity"), [*_NET_KEY, "quantity"])
-            .withColumn("copies", F.when(no_cancel, F.lit(1)).otherwise(F.col("_cn")).cast("long"))
-            .withColumn("quantity", F.when(no_cancel, q).otherwise(F.col("_cn") * q + F.col("_cs")).cast("long"))
-            .filter(F.col("copies") > 0)
-            .drop("_cn", "_cs", "_tn"))
+              .select(*_NET_KEY, F.col("_k").alias("quantity"), "_kind",
+                      F.sum("_n").over(running).alias("copies"), F.sum("_s").over(running).alias("_cs"))
+              .filter((F.col("_kind") == 0) & (F.col("copies") > 0)).drop("_kind"))
+    netted = (touched.drop("_cancelled").join(prefix, [*_NET_KEY, "quantity"])
+              .withColumn("quantity", (F.col("copies") * q + F.col("_cs")).cast("long")).drop("_cs"))
+    return clear.unionByName(netted)
 
 
 def drop_codes(lines: DataFrame, codes: list[str] | None = None) -> DataFrame:

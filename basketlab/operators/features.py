@@ -72,11 +72,12 @@ def user_features(base: DataFrame, priors: DataFrame, orders: DataFrame) -> Data
 
     Totals come from prior lines; days between orders and nb_orders from all
     orders, including the held-out one (as in the reference); order sizes
-    from prior orders.
+    from prior orders. The products of a customer are not part of the table
+    (a list of any length per row); ``base`` has them as rows, and
+    ``with_product_lists`` adds the reference's column where it is wanted.
     """
     from_lines = base.groupBy("user_id").agg(
         F.sum("n_lines").alias("total_items"),
-        F.array_sort(F.collect_list("product_id")).alias("all_products"),
         F.count(F.lit(1)).alias("total_distinct_items"),
         F.sum("quantity").alias("total_item_quantity"),
         F.sum("revenue").cast("double").alias("total_money_spent"),
@@ -94,14 +95,21 @@ def user_features(base: DataFrame, priors: DataFrame, orders: DataFrame) -> Data
                  F.stddev_samp("_size").alias("order_size_std"),
                  F.max("_size").alias("order_size_max")))
     return (from_lines.join(from_orders, "user_id", "left").join(sizes, "user_id", "left")
-            .select("user_id", "total_items", "all_products", "total_distinct_items", "total_item_quantity",
-                    "total_money_spent",
+            .select("user_id", "total_items", "total_distinct_items", "total_item_quantity", "total_money_spent",
                     ratio("total_money_spent", "total_item_quantity").alias("avg_money_spent_per_item"),
                     ratio("_reordered", "_after_first").alias("user_reorder_ratio"),
                     "average_days_between_orders", "sum_days_between_orders", "nb_orders",
                     "order_size_mean", "order_size_std", "order_size_max"))
 
 
+def with_product_lists(users: DataFrame, base: DataFrame) -> DataFrame:
+    """``users`` with ``all_products``, the sorted distinct products of
+    each customer, after total_items as in the reference."""
+    lists = base.groupBy("user_id").agg(F.array_sort(F.collect_list("product_id")).alias("all_products"))
+    at = users.columns.index("total_items") + 1
+    return users.join(lists, "user_id", "left").select(*users.columns[:at], "all_products", *users.columns[at:])
+
+
 def user_product_features(base: DataFrame) -> DataFrame:
     """Q14: per (user, product)."""
     return base.select(

@@ -15,19 +15,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketlab import constants as K
-from basketlab.operators import cleanse, evaluate as E, orders as O
+from basketlab.operators import cleanse, evaluate as E, features, orders as O
 from basketlab.operators.candidates import label_candidates
+from basketlab.functions.columns import basket_f1
 from basketlab.plans import eda, models, stats
 from basketlab.plans.pipeline import RetailPipeline
 from basketlab.session import file_listing, release_count
 from basketlab.sources.raw import SOURCE_NAMES, read_invoice_lines
-from basketlab.sources.sinks import read_tables, write_recommendations, write_tables
+from basketlab.sources.sinks import publish_tables, read_published, read_tables, write_recommendations, write_tables
 from basketlab.sources.tables import read_table
 
 # Countries compared in Q9 (names as they occur in the test tables).
 Q9_COUNTRIES = ["NATION_0", "NATION_1", "NATION_2"]
 # Feature used by the single-feature permutation tests.
 PERM_FEATURE = "UP_orders"
+# Thresholds of the registered sweep.
+SWEEP = [0.0, 0.05, 0.09, 0.15, 0.3]
+# Feature of the rank permutation test, and columns with nulls for the pairwise correlation.
+MEDIAN_FEATURE = "product_orders"
+NULL_COLUMNS = ["total_items", "avg_money_spent_per_item", "user_reorder_ratio", "average_days_between_orders",
+                "order_size_mean", "order_size_std"]
 # Fixed score standing in for a model where values are compared exactly.
 FIXED_SCORE = "UP_orders_ratio"
 FIXED_BLEND = {"gbt_leafwise": "UP_orders_ratio", "gbt_depthwise": "product_reorder_rate",
@@ -86,6 +93,11 @@ def q_net_cancellations_total(spark, base):
     return present(_netted(spark, base, "net_total").select("order_id", "line_no", "stock", "user_id", "quantity"))
 
 
+def q_net_cancellations_fifo(spark, base):
+    with _pipe(spark, base).owned():
+        return present(_netted(spark, base, "fifo").select("order_id", "line_no", "stock", "user_id", "quantity"))
+
+
 def q_encode_products(spark, base):
     return present(_pipe(spark, base).product_codes)
 
@@ -103,19 +115,22 @@ def q18_clean(spark, base):
     return present(_pipe(spark, base).clean.drop("line_no"))
 
 
-def q_order_sequence(spark, base):
+def _sequence(spark, base):
     p = _pipe(spark, base)
-    return present(O.sequence_orders(O.orders_from_lines(p.clean)).select("user_id", "order_id", "order_number"))
+    with p.owned():
+        return O.sequence_orders(O.orders_from_lines(p.clean))
+
+
+def q_order_sequence(spark, base):
+    return present(_sequence(spark, base).select("user_id", "order_id", "order_number"))
 
 
 def q_order_gap_days(spark, base):
-    p = _pipe(spark, base)
-    return present(O.sequence_orders(O.orders_from_lines(p.clean)).select("order_id", "days_since_prior_order"))
+    return present(_sequence(spark, base).select("order_id", "days_since_prior_order"))
 
 
 def q_last_order(spark, base):
-    p = _pipe(spark, base)
-    return present(O.last_orders(O.sequence_orders(O.orders_from_lines(p.clean))))
+    return present(O.last_orders(_sequence(spark, base)))
 
 
 def q_holdout_split(spark, base):
@@ -136,8 +151,9 @@ def q_mark_reordered(spark, base):
 
 
 def q_nth_purchase(spark, base):
-    pri = _pipe(spark, base).priors
-    return present(O.nth_purchase(pri).select("order_id", "product_id", "user_buy_product_times"))
+    p = _pipe(spark, base)
+    with p.owned():
+        return present(O.nth_purchase(p.priors).select("order_id", "product_id", "user_buy_product_times"))
 
 
 def q20_order_products(spark, base):
@@ -164,7 +180,8 @@ def q12_product_features(spark, base):
 
 
 def q13_user_features(spark, base):
-    u = _pipe(spark, base).user_features
+    p = _pipe(spark, base)
+    u = features.with_product_lists(p.user_features, p.up_base)
     return present(u.withColumn("all_products", ids_text("all_products")))
 
 
@@ -233,32 +250,61 @@ def q16_mean_f1_fixed_score(spark, base):
     return present(E.mean_f1(per_order))
 
 
+def _split(spark, base):
+    p = _pipe(spark, base)
+    with p.owned():
+        return models.split_users(p.train_frame)
+
+
 def q_user_split(spark, base):
-    f = _pipe(spark, base).train_frame
-    return present(models.split_users(f).select("user_id", "split").distinct())
+    return present(_split(spark, base).select("user_id", "split").distinct())
 
 
 def q17_validation_fixed_score(spark, base):
     p = _pipe(spark, base)
-    split = models.split_users(p.train_frame)
-    val = split.filter(F.col("split") == "validation")
+    val = _split(spark, base).filter(F.col("split") == "validation")
     truth = p.truth("train").join(val.select("order_id").distinct(), "order_id", "left_semi")
     per_order, _ = E.recommend(_fixed_scores(val), truth)
     return present(E.mean_f1(per_order))
 
 
-# --- models (rows-only check) ---------------------------------------------------
+def q_threshold_sweep(spark, base):
+    """Mean F1 of the fixed score on the validation users at each threshold."""
+    p = _pipe(spark, base)
+    val = _split(spark, base).filter(F.col("split") == "validation")
+    truth = p.truth("train").join(val.select("order_id").distinct(), "order_id", "left_semi")
+    return present(models.threshold_sweep(_fixed_scores(val), truth, SWEEP))
+
+
+# --- models (scores differ between engines; what does not depend on them is checked) -------
 
 def q16_recommendations(spark, base):
-    p = _pipe(spark, base)
-    rep = models.test_recommendations(p.train_frame, p.test_frame, p.truth("test"))
+    rep = _pipe(spark, base).recommendations
     return present(rep.select("order_id", ids_text("recommendations").alias("recommendations"),
                               ids_text("ordered_products").alias("ordered_products"), "f1_score"))
 
 
-def q17_validation_f1(spark, base):
+def q16_reported_orders(spark, base):
+    """Of the model's report: orders, true baskets, whether every recommended
+    product was bought before, and whether F1 is that of the two lists."""
     p = _pipe(spark, base)
-    return present(models.validation_f1(p.train_frame, p.order_products))
+    rep, bought = p.recommendations, p.test_frame.select("order_id", "product_id", F.lit(1).alias("_b"))
+    lines = rep.select("order_id", F.explode("recommendations").alias("product_id")).join(
+        bought, ["order_id", "product_id"], "left").groupBy("order_id").agg(
+        (F.count("_b") == F.count(F.lit(1))).alias("all_bought_before"))
+    f1 = basket_f1("recommendations", F.coalesce("ordered_products", F.array().cast("array<long>")))
+    return present(rep.select("order_id", ids_text("ordered_products").alias("ordered_products"),
+                              F.size("ordered_products").alias("n_ordered"),
+                              (F.abs(f1 - F.col("f1_score")) < 1e-9).alias("f1_agrees")).join(lines, "order_id"))
+
+
+def q17_validation_f1(spark, base):
+    return present(_pipe(spark, base).validation)
+
+
+def q17_validated_orders(spark, base):
+    """How many orders the model was validated on."""
+    return present(_pipe(spark, base).validation.select("n_orders"))
 
 
 # --- written and read back -------------------------------------------------------
@@ -296,6 +342,14 @@ def q_saved_recommendations(spark, base):
                                ids_text("ordered_products").alias("ordered_products"), "f1_score"))
 
 
+def q_published_features(spark, base):
+    """A4, A5: both feature frames published as one set, twice, and read back."""
+    path, p = _folder(spark, "published"), _pipe(spark, base)
+    publish_tables({"train_transformed": p.train_frame.limit(0), "test_transformed": p.test_frame}, path, keep=1)
+    publish_tables({"train_transformed": p.train_frame, "test_transformed": p.test_frame}, path, keep=1)
+    return present(read_published(spark, path, ["train_transformed"])["train_transformed"])
+
+
 def q_user_products(spark, base):
     """D10 as rows: the products each customer bought in prior orders."""
     return present(_pipe(spark, base).up_base.select("user_id", "product_id"))
@@ -344,6 +398,21 @@ def q8_top_products(spark, base):
     return present(eda.top_products(_pipe(spark, base).product_features, "orders"))
 
 
+def q8_top_products_by_revenue(spark, base):
+    return present(eda.top_products(_pipe(spark, base).product_features, "total_revenue"))
+
+
+def q9_reorder_ratio_quantiles(spark, base):
+    p = _pipe(spark, base)
+    with p.owned():
+        return present(eda.reorder_ratio_quantiles(p.customers, p.user_features, Q9_COUNTRIES))
+
+
+def q9_reorder_ratio_density(spark, base):
+    p = _pipe(spark, base)
+    return present(eda.reorder_ratio_density(p.customers, p.user_features, Q9_COUNTRIES))
+
+
 def q9_reorder_ratio_by_country(spark, base):
     p = _pipe(spark, base)
     return present(eda.reorder_ratio_by_country(p.customers, p.user_features, Q9_COUNTRIES))
@@ -365,6 +434,19 @@ def q_corr_pairs(spark, base):
     return present(stats.corr_long(_pipe(spark, base).train_frame, K.ALL_FEATURES))
 
 
+def q_corr_pairs_nulls(spark, base):
+    """D19 on columns with nulls: each pair over the rows that have both."""
+    return present(stats.corr_long(_pipe(spark, base).user_features, NULL_COLUMNS))
+
+
+def q_perm_test_median(spark, base):
+    """M2 with a rank statistic: the difference of medians."""
+    p = _pipe(spark, base)
+    with p.owned():
+        return present(stats.permutation_pvalues(p.train_frame, ["order_id", "product_id"], "labels", [MEDIAN_FEATURE],
+                                                 statistic=stats.diff_of_medians))
+
+
 def q11_perm_pvalues(spark, base):
     f = _pipe(spark, base).train_frame
     feats = list(dict.fromkeys(K.TREE_FEATURES + K.LOGISTIC_FEATURES))
@@ -388,6 +470,7 @@ def q_perm_test_one_sided(spark, base):
 QUERIES: dict[str, QueryFn] = {
     "net_cancellations": q_net_cancellations,
     "net_cancellations_total": q_net_cancellations_total,
+    "net_cancellations_fifo": q_net_cancellations_fifo,
     "encode_products": q_encode_products,
     "active_customers": q_active_customers,
     "consolidate_lines": q_consolidate_lines,
@@ -419,11 +502,15 @@ QUERIES: dict[str, QueryFn] = {
     "q16_mean_f1_fixed_score": q16_mean_f1_fixed_score,
     "user_split": q_user_split,
     "q17_validation_fixed_score": q17_validation_fixed_score,
+    "threshold_sweep": q_threshold_sweep,
     "q16_recommendations": q16_recommendations,
+    "q16_reported_orders": q16_reported_orders,
     "q17_validation_f1": q17_validation_f1,
+    "q17_validated_orders": q17_validated_orders,
     "ingest_roundtrip": q_ingest_roundtrip,
     "saved_features": q_saved_features,
     "saved_recommendations": q_saved_recommendations,
+    "published_features": q_published_features,
     "user_products": q_user_products,
     "basket_lines": q_basket_lines,
     "q1_orders_per_user": q1_orders_per_user,
@@ -436,10 +523,15 @@ QUERIES: dict[str, QueryFn] = {
     "q7_events_dow_hour": q7_events_dow_hour,
     "q8_top_products": q8_top_products,
     "q9_reorder_ratio_by_country": q9_reorder_ratio_by_country,
+    "q8_top_products_by_revenue": q8_top_products_by_revenue,
     "q9_reorder_ratio_histogram": q9_reorder_ratio_histogram,
+    "q9_reorder_ratio_quantiles": q9_reorder_ratio_quantiles,
+    "q9_reorder_ratio_density": q9_reorder_ratio_density,
     "q10_corr": q10_corr,
     "corr_pairs": q_corr_pairs,
+    "corr_pairs_nulls": q_corr_pairs_nulls,
     "q11_perm_pvalues": q11_perm_pvalues,
     "perm_test": q_perm_test,
+    "perm_test_median": q_perm_test_median,
     "perm_test_one_sided": q_perm_test_one_sided,
 }

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab import constants as K
+from basketlab.operators.distribution import group_density, group_quantiles
 
 HOURS = list(range(24))
 REORDER_RATIO_BINS = 20
+QUANTILES = [0.0, 0.25, 0.5, 0.75, 1.0]
 
 
 def capped_histogram(df: DataFrame, value: str, cap: int, value_out: str, count_out: str,
@@ -85,6 +87,24 @@ def reorder_ratio_by_country(customers: DataFrame, user_features: DataFrame, cou
         F.min(r).alias("min_ratio"), F.max(r).alias("max_ratio"))
 
 
+def _ratios(customers: DataFrame, user_features: DataFrame, countries: list[str]) -> DataFrame:
+    return (customers.filter(F.col("country").isin(countries))
+            .join(user_features.select("user_id", "user_reorder_ratio"), "user_id"))
+
+
+def reorder_ratio_quantiles(customers: DataFrame, user_features: DataFrame, countries: list[str],
+                            probabilities: list[float] = QUANTILES) -> DataFrame:
+    """Exact quantiles of user_reorder_ratio per country (the box
+    of the violin)."""
+    return group_quantiles(_ratios(customers, user_features, countries), ["country"], "user_reorder_ratio", probabilities)
+
+
+def reorder_ratio_density(customers: DataFrame, user_features: DataFrame, countries: list[str]) -> DataFrame:
+    """Kernel density of user_reorder_ratio per country (the curve
+    of the violin)."""
+    return group_density(_ratios(customers, user_features, countries), ["country"], "user_reorder_ratio")
+
+
 def reorder_ratio_histogram(customers: DataFrame, user_features: DataFrame, countries: list[str],
                             bins: int = REORDER_RATIO_BINS) -> DataFrame:
     """The same distribution as fixed-width bins over [0, 1]

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.operators import evaluate as E
 from basketlab.operators.indexing import hash_split
+from basketlab.session import delete_paths, ensure_checkpoint_dir, materialize
+
+CHECKPOINT_ROUNDS = 10
 
 
 @dataclass
@@ -45,20 +48,30 @@ def _assemble(df: DataFrame) -> DataFrame:
 
 
 def fit_models(train: DataFrame, settings: ModelSettings | None = None) -> dict:
-    """M6-M9: fit the four models on a labelled feature frame."""
+    """M6-M9: fit the four models on a labelled feature frame.
+
+    The assembled vectors are written once and all four fits read them.
+    Boosting checkpoints its lineage every CHECKPOINT_ROUNDS trees in the
+    shared checkpoint folder."""
     s = settings or ModelSettings()
-    data = _assemble(train.withColumn("label", F.col("labels").cast("double")))
+    ensure_checkpoint_dir(train.sparkSession)
+    written: list[str] = []
+    data = materialize(_assemble(train.withColumn("label", F.col("labels").cast("double")))
+                       .select("label", "_tree_vec", "_lr_vec"), "assembled", written)
     n = data.count()
     # scikit-learn minimises 1/2|w|^2 + C * sum(loss); Spark mean(loss) + reg/2 |w|^2.
     lr = LogisticRegression(featuresCol="_lr_vec", labelCol="label", regParam=1.0 / (s.logistic_c * n),
                             elasticNetParam=0.0, standardization=False, maxIter=100)
-    g1 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.gbt_leafwise)
-    g2 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.gbt_depthwise)
+    boosting = {"checkpointInterval": CHECKPOINT_ROUNDS, "cacheNodeIds": True, "maxMemoryInMB": 512}
+    g1 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **boosting, **s.gbt_leafwise)
+    g2 = GBTClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **boosting, **s.gbt_depthwise)
     rf = RandomForestClassifier(featuresCol="_tree_vec", labelCol="label", seed=s.seed, **s.forest)
     for est, tag in ((lr, "lr"), (g1, "g1"), (g2, "g2"), (rf, "rf")):
         est.setProbabilityCol(f"_p_{tag}").setRawPredictionCol(f"_r_{tag}").setPredictionCol(f"_y_{tag}")
-    return {"logistic": lr.fit(data), "gbt_leafwise": g1.fit(data), "gbt_depthwise": g2.fit(data),
-            "forest": rf.fit(data)}
+    fitted = {"logistic": lr.fit(data), "gbt_leafwise": g1.fit(data), "gbt_depthwise": g2.fit(data),
+              "forest": rf.fit(data)}
+    delete_paths(train.sparkSession, written)
+    return fitted
 
 
 def score(models: dict, frame: DataFrame) -> DataFrame:
@@ -81,8 +94,9 @@ def test_recommendations(train: DataFrame, test: DataFrame, truth: DataFrame,
                          settings: ModelSettings | None = None, threshold: float = K.THRESHOLD) -> DataFrame:
     """Fit on the train frame, recommend for the test orders."""
     models = fit_models(train, settings)
-    per_order, kept = E.recommend(predictions_for_cut(score(models, test)), truth, threshold)
-    return E.recommendation_report(per_order, kept, truth)
+    scores = predictions_for_cut(score(models, test))
+    kept = materialize(E.cut_baskets(E.rank_predictions(scores), threshold), "kept_predictions")    # read twice below
+    return E.recommendation_report(E.f1_by_order(kept, truth), kept, truth)
 
 
 def split_users(frame: DataFrame, share: float = K.VALIDATION_TRAIN_SHARE, seed: int = K.SEED) -> DataFrame:

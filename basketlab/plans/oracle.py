@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from basketlab import constants as K
 from basketlab.functions.columns import mix_hash_sql
-from basketlab.plans import catalog as Q
+from basketlab.operators.distribution import DENSITY_CUT, DENSITY_POINTS
+from basketlab.plans import catalog as Q, eda
 from basketlab.plans.pipeline import TEST_TABLE_CODES
 
 
@@ -135,6 +136,9 @@ SELECT user_id, product_id, count(*) AS nb_orders, arg_max(order_id, order_numbe
        max(order_number) AS up_last_order_number
 FROM x_priors GROUP BY user_id, product_id"""),
 ]
+CTES.append(("x_ratios", f"""
+SELECT c.country, u.user_reorder_ratio AS ratio FROM x_customers c JOIN x_uf u USING (user_id)
+WHERE c.country IN ({', '.join("'" + c + "'" for c in Q.Q9_COUNTRIES)}) AND u.user_reorder_ratio IS NOT NULL"""))
 for _es in ("train", "test"):
     CTES.append((f"x_cand_{_es}", f"""
 SELECT o.order_id, p.product_id, o.user_id, o.order_hour_of_day, o.order_dow, o.days_since_prior_order
@@ -233,7 +237,8 @@ def _corr_parts(features: list[str], tag: str, src: str = "x_train") -> tuple[st
         for j in range(i, len(features)):
             b = features[j]
             n = f"c{i}_{j}"
-            sel.append(f"covar_pop({a}, {b}) / NULLIF(stddev_pop({a}) * stddev_pop({b}), 0) AS {n}")
+            spread = f"stddev_pop({a}) FILTER ({b} IS NOT NULL) * stddev_pop({b}) FILTER ({a} IS NOT NULL)"
+            sel.append(f"covar_pop({a}, {b}) / NULLIF({spread}, 0) AS {n}")
             rows.append((a, b, n))
             if i != j:
                 rows.append((b, a, n))
@@ -245,12 +250,12 @@ def _corr_parts(features: list[str], tag: str, src: str = "x_train") -> tuple[st
     return cte, body
 
 
-def _perm_sql(features: list[str], size: int, two_sided: bool) -> str:
+def _perm_sql(features: list[str], size: int, two_sided: bool, of: str = "avg") -> str:
     avg0 = ", ".join(
-        f"avg(CASE WHEN rk <= n0 THEN CAST({f} AS DOUBLE) END) - avg(CASE WHEN rk > n0 THEN CAST({f} AS DOUBLE) END) AS {f}"
+        f"{of}(CASE WHEN rk <= n0 THEN CAST({f} AS DOUBLE) END) - {of}(CASE WHEN rk > n0 THEN CAST({f} AS DOUBLE) END) AS {f}"
         for f in features)
     obs = ", ".join(
-        f"avg(CASE WHEN labels = 0 THEN CAST({f} AS DOUBLE) END) - avg(CASE WHEN labels <> 0 THEN CAST({f} AS DOUBLE) END) AS {f}"
+        f"{of}(CASE WHEN labels = 0 THEN CAST({f} AS DOUBLE) END) - {of}(CASE WHEN labels <> 0 THEN CAST({f} AS DOUBLE) END) AS {f}"
         for f in features)
     cols = ", ".join(features)
     cmp = "abs(s.stat) >= abs(o.stat)" if two_sided else "s.stat >= o.stat"
@@ -302,11 +307,45 @@ def _corr_both() -> str:
                      f"UNION ALL SELECT *, 'logistic' AS feature_set FROM ({b2})")
 
 
-def _corr_one() -> str:
-    c, b = _corr_parts(K.ALL_FEATURES, "all")
+def _corr_one(features: list[str] = K.ALL_FEATURES, src: str = "x_train") -> str:
+    c, b = _corr_parts(features, "all", src)
     return with_ctes(f"{c}\n{b}")
 
 
+def _quantiles() -> str:
+    return " UNION ALL ".join(f"""
+SELECT country, CAST({p} AS DOUBLE) AS p, count(ratio) AS n, {r6(f'quantile_cont(ratio, {p})')} AS quantile
+FROM x_ratios GROUP BY country""" for p in eda.QUANTILES)
+
+
+def _density(points: int = DENSITY_POINTS, cut: float = DENSITY_CUT) -> str:
+    return f"""
+, d_m AS (SELECT country AS c, count(ratio) AS n, min(ratio) AS low, max(ratio) AS high,
+                 stddev_samp(ratio) * pow(count(ratio), -0.2) AS h FROM x_ratios GROUP BY country),
+d_x AS (SELECT c, n, h, g.range AS point,
+               low - {cut} * h + (high - low + 2 * {cut} * h) * g.range / {points - 1} AS x
+        FROM d_m, range({points}) g WHERE h > 0)
+SELECT c AS country, point, {r6('x')} AS x,
+       {r6('sum(exp(-pow((x - ratio) / h, 2) / 2)) / (n * h * sqrt(2 * pi()))')} AS density
+FROM d_x JOIN x_ratios r ON r.country = c GROUP BY c, point, x, n, h"""
+
+
+def _sweep() -> str:
+    thresholds = ", ".join(f"(CAST({t} AS DOUBLE))" for t in Q.SWEEP)
+    return f"""
+, s_scores AS (
+  SELECT t.order_id, t.product_id, t.{Q.FIXED_SCORE} AS pred, t.user_order_size_max AS m,
+         row_number() OVER (PARTITION BY t.order_id ORDER BY t.{Q.FIXED_SCORE} DESC, t.product_id) - 1 AS k
+  FROM x_train t JOIN x_vsplit s USING (user_id) WHERE s.split = 'validation'),
+s_kept AS (SELECT threshold, order_id, product_id FROM s_scores, (VALUES {thresholds}) v(threshold)
+           WHERE k < m AND (k = 0 OR pred > threshold)),
+s_true AS (SELECT order_id, count(*) AS n FROM x_val_truth GROUP BY order_id),
+s_f1 AS (SELECT threshold, order_id, 2.0 * count(h.product_id) / (count(*) + coalesce(max(s.n), 0)) AS f
+         FROM s_kept k LEFT JOIN x_val_truth h USING (order_id, product_id) LEFT JOIN s_true s USING (order_id)
+         GROUP BY threshold, order_id)
+SELECT threshold, {r6('avg(f)')} AS mean_f1, count(*) AS n_orders FROM s_f1 GROUP BY threshold"""
+
+
 def _countries() -> str:
     return ", ".join(f"'{c}'" for c in Q.Q9_COUNTRIES)
 
@@ -321,6 +360,13 @@ SELECT order_id, line_no, stock, user_id, quantity FROM (
          CAST(l.quantity + coalesce((SELECT sum(c.qc) FROM x_canc c WHERE c.user_id = l.user_id
                                      AND c.stock = l.stock), 0) AS BIGINT) AS quantity
   FROM x_lines l WHERE l.quantity > 0) WHERE quantity > 0"""),
+    "net_cancellations_fifo": _q("""
+SELECT order_id, line_no, stock, user_id, CAST(kept AS BIGINT) AS quantity FROM (
+  SELECT l.*, l.quantity - greatest(0, least(l.quantity, coalesce(c.t, 0) - (l.upto - l.quantity))) AS kept
+  FROM (SELECT *, sum(quantity) OVER (PARTITION BY user_id, stock ORDER BY order_date, order_id, line_no
+                                      ROWS UNBOUNDED PRECEDING) AS upto FROM x_lines WHERE quantity > 0) l
+  LEFT JOIN (SELECT user_id, stock, -sum(qc) AS t FROM x_canc GROUP BY user_id, stock) c USING (user_id, stock))
+WHERE kept > 0"""),
     "encode_products": _q("SELECT stock, product_id FROM x_codes"),
     "active_customers": _q("SELECT user_id, n_invoices FROM x_active"),
     "consolidate_lines": _q(f"""
@@ -417,7 +463,22 @@ FROM x_customers c LEFT JOIN x_uf u USING (user_id) WHERE c.country IN ({_countr
 SELECT c.country, CAST(least(floor(u.user_reorder_ratio * 20), 19) AS BIGINT) AS bin, count(*) AS n_users
 FROM x_customers c JOIN x_uf u USING (user_id)
 WHERE c.country IN ({_countries()}) AND u.user_reorder_ratio IS NOT NULL GROUP BY 1, 2"""),
+    "q8_top_products_by_revenue": _q(f"""
+SELECT CAST(row_number() OVER (ORDER BY total_revenue DESC, product_id) AS BIGINT) AS rank, product_id,
+       lower(description) AS description, {r6('total_revenue')} AS value
+FROM x_pf ORDER BY total_revenue DESC, product_id LIMIT 10"""),
+    "q9_reorder_ratio_quantiles": _q(_quantiles()),
+    "q9_reorder_ratio_density": _q(_density()),
+    "threshold_sweep": _q(_sweep()),
+    "q16_reported_orders": _q("""
+SELECT f.order_id, max(o.products) AS ordered_products, max(o.n) AS n_ordered, true AS f1_agrees, true AS all_bought_before
+FROM x_t_f1 f LEFT JOIN (
+  SELECT order_id, count(*) AS n, string_agg(CAST(product_id AS VARCHAR), ' ' ORDER BY add_to_cart_order) AS products
+  FROM x_truth_test GROUP BY order_id) o USING (order_id) GROUP BY f.order_id"""),
+    "q17_validated_orders": _q("SELECT count(*) AS n_orders FROM x_v_f1"),
     "q10_corr": _corr_both(),
+    "corr_pairs_nulls": _corr_one(Q.NULL_COLUMNS, "x_uf"),
+    "perm_test_median": _perm_sql([Q.MEDIAN_FEATURE], K.PERMUTATION_REPLICATES, True, "median"),
     "corr_pairs": _corr_one(),
     "perm_test": _perm_sql([Q.PERM_FEATURE], K.PERMUTATION_REPLICATES, True),
     "perm_test_one_sided": _perm_sql([Q.PERM_FEATURE], K.PERMUTATION_REPLICATES, False),
@@ -427,6 +488,7 @@ SQL["ingest_roundtrip"] = _q(f"""
 SELECT order_id, stock, description, quantity, CAST(order_date AS TIMESTAMP) AS order_date,
        {r6('unit_price')} AS unit_price, user_id, country, line_no FROM raw""")
 SQL["saved_features"] = SQL["q15_train_features"]
+SQL["published_features"] = SQL["q15_train_features"]
 SQL["saved_recommendations"] = SQL["q16_fixed_score"]
 SQL["user_products"] = _q("SELECT user_id, product_id FROM x_up")
 SQL["basket_lines"] = _q("SELECT order_id, add_to_cart_order, product_id, eval_set FROM x_op")

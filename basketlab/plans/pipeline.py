@@ -10,6 +10,7 @@ exchanges).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from basketlab import constants as K
 from basketlab.operators import candidates as C
 from basketlab.operators import cleanse, features, orders as O
-from basketlab.session import delete_paths, materialize
+from basketlab.plans import models
+from basketlab.session import delete_paths, materialize, owned_by
 from basketlab.sources.raw import invoice_lines_from_tables
 
 # Deny list used with the star-schema test tables (their codes are product
@@ -52,8 +54,23 @@ class RetailPipeline:
         pipe.written.extend(written)
         return pipe
 
-    def _stage(self, df: DataFrame, label: str) -> DataFrame:
-        return materialize(df, label, self.written) if self.checkpoint_stages else df
+    def owned(self):
+        """Context in which tables that operators write belong to this
+        pipeline (``release`` deletes them)."""
+        return owned_by(self.written)
+
+    def _stage(self, build: Callable[[], DataFrame], label: str) -> DataFrame:
+        """The frame of ``build`` as a stage table. Tables that operators
+        wrote on the way are deleted once the stage is written."""
+        on_the_way: list[str] = []
+        with owned_by(on_the_way):
+            df = build()
+        if not self.checkpoint_stages:
+            self.written += on_the_way
+            return df
+        out = materialize(df, label, self.written)
+        delete_paths(out.sparkSession, on_the_way)
+        return out
 
     def release(self) -> None:
         """Delete the stage tables this pipeline wrote. The pipeline and the
@@ -68,29 +85,29 @@ class RetailPipeline:
     @cached_property
     def kept(self) -> DataFrame:
         """Net-positive product lines (cancellations netted, codes dropped)."""
-        netted = cleanse.net_cancellations(cleanse.drop_anonymous(self.raw), self.mode)
-        return self._stage(cleanse.drop_codes(netted, self.deny_codes), "kept")
+        return self._stage(lambda: cleanse.drop_codes(cleanse.net_cancellations(
+            cleanse.drop_anonymous(self.raw), self.mode), self.deny_codes), "kept")
 
     @cached_property
     def product_codes(self) -> DataFrame:
-        return cleanse.product_codes(self.kept)
+        return self._stage(lambda: cleanse.product_codes(self.kept), "product_codes")
 
     @cached_property
     def lines(self) -> DataFrame:
         """Kept lines with product codes (before the customer filter)."""
-        return cleanse.encode_products(self.kept)
+        return self.kept.join(self.product_codes, "stock", "left")
 
     @cached_property
     def clean(self) -> DataFrame:
-        return self._stage(cleanse.consolidate_lines(cleanse.active_customers(self.lines)), "clean")
+        return self._stage(lambda: cleanse.consolidate_lines(cleanse.active_customers(self.lines)), "clean")
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._stage(O.build_orders(self.clean, self.share, self.seed), "orders")
+        return self._stage(lambda: O.build_orders(self.clean, self.share, self.seed), "orders")
 
     @cached_property
     def order_products(self) -> DataFrame:
-        return self._stage(O.build_order_products(self.clean, self.orders), "order_products")
+        return self._stage(lambda: O.build_order_products(self.clean, self.orders), "order_products")
 
     @cached_property
     def products(self) -> DataFrame:
@@ -107,15 +124,15 @@ class RetailPipeline:
 
     @cached_property
     def up_base(self) -> DataFrame:
-        return self._stage(features.user_product_base(self.priors), "up_base")
+        return self._stage(lambda: features.user_product_base(self.priors), "up_base")
 
     @cached_property
     def product_features(self) -> DataFrame:
-        return self._stage(features.product_features(self.up_base, self.products), "product_features")
+        return self._stage(lambda: features.product_features(self.up_base, self.products), "product_features")
 
     @cached_property
     def user_features(self) -> DataFrame:
-        return self._stage(features.user_features(self.up_base, self.priors, self.orders), "user_features")
+        return self._stage(lambda: features.user_features(self.up_base, self.priors, self.orders), "user_features")
 
     @cached_property
     def up_features(self) -> DataFrame:
@@ -131,11 +148,24 @@ class RetailPipeline:
 
     @cached_property
     def train_frame(self) -> DataFrame:
-        return self._stage(self.feature_frame("train"), "train_frame")
+        return self._stage(lambda: self.feature_frame("train"), "train_frame")
 
     @cached_property
     def test_frame(self) -> DataFrame:
-        return self._stage(self.feature_frame("test"), "test_frame")
+        return self._stage(lambda: self.feature_frame("test"), "test_frame")
+
+    # --- models --------------------------------------------------------------
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        """Q16: the report of the fitted blend for the test orders; the models
+        are fitted once."""
+        return self._stage(lambda: models.test_recommendations(self.train_frame, self.test_frame, self.truth("test")),
+                           "recommendations")
+
+    @cached_property
+    def validation(self) -> DataFrame:
+        """Q17: mean F1 of the blend on held-out users of the train frame."""
+        return self._stage(lambda: models.validation_f1(self.train_frame, self.order_products), "validation")
 
     def truth(self, eval_set: str) -> DataFrame:
         return (self.order_products.filter(F.col("eval_set") == eval_set)
@@ -149,5 +179,6 @@ class RetailPipeline:
             "order_products": self.order_products.drop("user_id", "order_number"),
             "order_products_compact": O.baskets(self.order_products),
             "train_transformed": self.train_frame, "test_transformed": self.test_frame,
-            "product_features": self.product_features, "user_features": self.user_features,
+            "product_features": self.product_features,
+            "user_features": features.with_product_lists(self.user_features, self.up_base),
         }

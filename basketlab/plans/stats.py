@@ -2,54 +2,114 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab import constants as K
 from basketlab.functions.columns import HASH_BITS, mix_hash
-
-Statistic = Callable[[Column, Column], Column]
-
-
-def corr_matrix(df: DataFrame, features: list[str]) -> dict[tuple[str, str], float | None]:
-    """Pearson correlation of every feature pair, as {(a, b): r}.
-
-    ``pyspark.ml.stat.Correlation`` over one assembled vector: a mean pass,
-    then a centred co-moment pass with ``treeAggregate`` (numerically stable,
-    partial sums merged in a tree). The result is the k x k matrix, bounded
-    by the number of features. A constant column gives None (pandas: NaN),
-    including its diagonal entry.
-    """
-    vec = VectorAssembler(inputCols=list(features), outputCol="_v", handleInvalid="keep").transform(
-        df.select(*[F.col(c).cast("double").alias(c) for c in features]))
-    m = Correlation.corr(vec, "_v", "pearson").head()[0].toArray()
-    spread = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in features]).head()
-    return {(a, b): None if math.isnan(m[i][j]) or not spread[a] else float(m[i][j])
-            for i, a in enumerate(features) for j, b in enumerate(features)}
+from basketlab.operators.distribution import group_quantiles
+
+
+@dataclass(frozen=True)
+class QuantileDifference:
+    """A rank statistic: the quantile ``p`` of the first group less that of
+    the second."""
+    p: float = 0.5
+
+
+# An aggregate of (value, in the first group), or a rank statistic.
+Statistic = Callable[[Column, Column], Column] | QuantileDifference
+
+
+def _moments(x: np.ndarray):
+    """(n, mean, co-moment, square) of each pair of columns over the rows in
+    which both have a value: ``mean`` and ``square`` are those of the first."""
+    here = ~np.isnan(x)
+    first = np.array([c[m][0] if m.any() else 0.0 for c, m in zip(x.T, here.T)])
+    z = np.where(here, x - first, 0.0)         # exactly 0 for a constant column
+    inner = z.sum(0) / np.maximum(1, here.sum(0))
+    z = np.where(here, z - inner, 0.0)
+    p = here.astype(float)
+    n = p.T @ p
+    m = z.T @ p / np.maximum(1, n)
+    raw = (z * z).T @ p
+    square = raw - n * m * m
+    square[square <= 1e-13 * raw] = 0.0        # what rounding leaves of a column constant on these rows
+    return n, m + (first + inner)[:, None], z.T @ z - n * m * m.T, square
+
+
+def _merged(a, b):
+    """Moments of two disjoint sets of rows together."""
+    n = a[0] + b[0]
+    d = b[1] - a[1]
+    part = b[0] / np.maximum(1, n)
+    return n, a[1] + d * part, a[2] + b[2] + d * d.T * a[0] * part, a[3] + b[3] + d * d * a[0] * part
+
+
+def pair_moments(df: DataFrame, features: list[str]) -> DataFrame:
+    """(feature_a, feature_b, n, c, va, vb) of every pair a <= b of columns,
+    over the rows in which both have a value (NaN counts as none): their
+    number, co-moment and sums of squares, centred.
+
+    Each task folds its batches into k x k matrices and sends one row for
+    each pair; these rows, tasks x pairs, are centred on the pair's common
+    mean and summed. Lazy: nothing runs while the frame is built."""
+    names = list(features)
+
+    def fold(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1)
+                held = _moments(x) if held is None else _merged(held, _moments(x))
+        if held is not None:
+            n, m, c, v = held
+            i, j = np.triu_indices(len(names))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([names[k] for k in i]), pa.array([names[k] for k in j]), pa.array(n[i, j]), pa.array(m[i, j]),
+                 pa.array(m[j, i]), pa.array(c[i, j]), pa.array(v[i, j]), pa.array(v[j, i])],
+                ["feature_a", "feature_b", "n", "ma", "mb", "c", "va", "vb"])
+
+    parts = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        fold, "feature_a string, feature_b string, n double, ma double, mb double, c double, va double, vb double")
+    pair = Window.partitionBy("feature_a", "feature_b")          # one row for each task
+    for c in ("ma", "mb"):       # from the least mean, so that equal means differ by exactly 0
+        parts = parts.withColumn(c, F.col(c) - F.min(F.when(F.col("n") > 0, F.col(c))).over(pair))
+        parts = parts.withColumn(f"_d{c}", F.col(c) - F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), F.sum("n").over(pair)))
+    n, da, db = F.col("n"), F.col("_dma"), F.col("_dmb")
+    return parts.groupBy("feature_a", "feature_b").agg(
+        F.sum("n").cast("long").alias("n"), F.sum(F.col("c") + F.when(n > 0, n * da * db).otherwise(0.0)).alias("c"),
+        F.sum(F.col("va") + F.when(n > 0, n * da * da).otherwise(0.0)).alias("va"),
+        F.sum(F.col("vb") + F.when(n > 0, n * db * db).otherwise(0.0)).alias("vb"))
 
 
 def corr_long(df: DataFrame, features: list[str]) -> DataFrame:
-    """Correlation of every ordered feature pair, long form."""
+    """Pearson correlation of every ordered feature pair, long form
+    (feature_a, feature_b, corr), each pair over the rows in which both have a
+    value. A column that is constant there gives null (pandas: NaN), also
+    with itself."""
     return corr_sets(df, {None: features})
 
 
 def corr_sets(df: DataFrame, sets: dict) -> DataFrame:
-    """Correlations for several feature lists from one matrix over their
+    """Correlations for several feature lists from one pass over their
     union (a pair's correlation does not depend on the other columns). With
     named sets the rows carry ``feature_set``."""
     union = list(dict.fromkeys(f for feats in sets.values() for f in feats))
-    m = corr_matrix(df, union)
-    if list(sets) == [None]:
-        rows = [(a, b, m[(a, b)]) for a in sets[None] for b in sets[None]]
-        return df.sparkSession.createDataFrame(rows, "feature_a string, feature_b string, corr double")
-    rows = [(a, b, m[(a, b)], name) for name, feats in sets.items() for a in feats for b in feats]
-    return df.sparkSession.createDataFrame(
-        rows, "feature_a string, feature_b string, corr double, feature_set string")
+    m = pair_moments(df, union)
+    r = F.try_divide(F.col("c"), F.sqrt(F.col("va")) * F.sqrt(F.col("vb")))
+    half = m.select("feature_a", "feature_b", r.alias("corr"))
+    both = half.unionByName(half.where("feature_a <> feature_b").select(
+        F.col("feature_a").alias("feature_b"), F.col("feature_b").alias("feature_a"), "corr"))
+    rows = [(name, a, b) for name, feats in sets.items() for a in feats for b in feats]
+    wanted = df.sparkSession.createDataFrame(rows, "feature_set string, feature_a string, feature_b string")
+    out = wanted.join(both, ["feature_a", "feature_b"], "left")     # bounded by the feature lists
+    return out.select("feature_a", "feature_b", "corr", *([] if list(sets) == [None] else ["feature_set"]))
 
 
 def diff_of_means(value: Column, in_first: Column) -> Column:
@@ -57,6 +117,22 @@ def diff_of_means(value: Column, in_first: Column) -> Column:
     return F.avg(F.when(in_first, value)) - F.avg(F.when(~in_first, value))
 
 
+diff_of_medians = QuantileDifference(0.5)
+
+
+def _quantile_statistics(split: DataFrame, features: list[str], p: float) -> DataFrame:
+    """(rep, feature, stat) of a rank statistic: the quantiles of both groups
+    of all replicates are found together, each pass counting values by
+    (replicate, group, part of the range)."""
+    out = None
+    for f in features:
+        q = group_quantiles(split, ["rep", "_first"], f, [p]).groupBy("rep").agg(
+            (F.max(F.when(F.col("_first"), F.col("quantile"))) - F.max(F.when(~F.col("_first"), F.col("quantile")))).alias("stat"))
+        q = q.select("rep", F.lit(f).alias("feature"), "stat")
+        out = q if out is None else out.unionByName(q)
+    return out
+
+
 LEVEL_BITS = 10        # 1,024 counts per replicate and level
 SMALL_BUCKET = 16384   # rows of a replicate that are ranked to find its last row
 
@@ -114,6 +190,8 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     scored = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
               .join(F.broadcast(cut), "rep", "left").withColumn("_h", h))     # ``size`` rows at most
     first = F.when(F.col("rep") == 0, is_first).otherwise(F.struct("_h", *key_cols) <= F.col("_cut"))
+    if isinstance(statistic, QuantileDifference):
+        return _quantile_statistics(scored.withColumn("_first", first), features, statistic.p)
     wide = scored.withColumn("_first", first).groupBy("rep").agg(
         *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
     body = ", ".join(f"'{f}', `{f}`" for f in features)

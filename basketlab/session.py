@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -72,6 +73,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: list[str] = []
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def owned_by(written: list[str]):
+    """Tables that ``materialize`` writes inside, also those of operators
+    called there, are appended to ``written``, so that their owner can delete
+    them with ``delete_paths``."""
+    _OWNERS.append(written)
+    try:
+        yield written
+    finally:
+        _OWNERS.pop()
 
 
 def materialize(df, label: str = "stage", written: list[str] | None = None):
@@ -82,14 +96,17 @@ def materialize(df, label: str = "stage", written: list[str] | None = None):
     plans start from the written files (with column pruning and filter
     pushdown) instead of re-planning and recomputing the whole lineage. The
     folder is the cluster's shared checkpoint folder, so a lost executor
-    never loses a finished stage. The path is appended to ``written`` so the
-    owner can delete it with ``delete_paths``.
+    never loses a finished stage. The path is appended to ``written`` (else to
+    the list of the innermost ``owned_by``) so the owner can delete it with
+    ``delete_paths``.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
+    if written is None and _OWNERS:
+        written = _OWNERS[-1]
     if written is not None:
         written.append(path)
     return spark.read.parquet(path)
@@ -99,9 +116,11 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     """Delete written stage tables (recursively) through Hadoop's FileSystem."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
+    for p in list(paths):
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if paths is not _WRITTEN and p in _WRITTEN:
+            _WRITTEN.remove(p)
     paths.clear()
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketlab.operators import evaluate as E
+from basketlab.operators.features import with_product_lists
 from basketlab.plans.pipeline import RetailPipeline
 from basketlab.sources.raw import lines_from_rows
 
@@ -52,6 +53,13 @@ def test_clean_net_total_mode(spark):
     assert got == {(100, "A", 5), (100, "B", 5), (102, "B", 3), (103, "C", 7), (104, "C", 1), (104, "B", 2)}
 
 
+def test_clean_fifo_mode(spark):
+    """Five cancelled units of A are the first five bought: 10 - 5 and 4."""
+    p = RetailPipeline(lines_from_rows(spark, ROWS), codes=["POST"], mode="fifo")
+    got = {(r.order_id, r.product_id_original, r.quantity) for r in p.clean.collect()}
+    assert got == {(100, "A", 5), (100, "B", 5), (101, "A", 4), (102, "B", 3), (103, "C", 7), (104, "C", 1), (104, "B", 2)}
+
+
 def test_product_codes_and_dimensions(pipe):
     assert {(r.stock, r.product_id) for r in pipe.product_codes.collect()} == {("A", 0), ("B", 1), ("C", 2)}
     assert {(r.product_id, r.description) for r in pipe.products.collect()} == {(0, "alpha"), (1, "beta"),
@@ -92,7 +100,8 @@ def test_user_features(pipe):
     assert u.user_reorder_ratio == pytest.approx(2 / 3)
     assert (u.average_days_between_orders, u.sum_days_between_orders, u.nb_orders) == (1.75, 7, 5)
     assert (u.order_size_mean, u.order_size_std, u.order_size_max) == (1.25, 0.5, 2)
-    assert list(u.all_products) == [0, 1, 2]
+    assert "all_products" not in pipe.user_features.columns
+    assert list(with_product_lists(pipe.user_features, pipe.up_base).collect()[0].all_products) == [0, 1, 2]
 
 
 def test_user_product_and_candidates(pipe):
