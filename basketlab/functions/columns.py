@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,42 @@ def mix_hash(keys: list[str | Column], rep: str | Column) -> Column:
     return first * F.lit(1 << 31).cast("long") + second
 
 
+def _rounds_int(x: int) -> int:
+    for mult, shift in HASH_ROUNDS:
+        x = x * mult % HASH_PRIME
+        x ^= x >> shift
+    return x % HASH_PRIME
+
+
+def replicated(df: DataFrame, keys: list[str], reps: range) -> DataFrame:
+    """Each row once for every number of ``reps``, with ``rep`` and
+    ``_h`` = ``mix_hash(keys, rep)``.
+
+    What depends on the replicate alone is worked out here, a few numbers for
+    each; a round that reads its input twice is a projection of its own, so that
+    no expression is written out twice inside another."""
+    p = F.lit(HASH_PRIME)
+    lanes = [(r, *[v for seeds in HASH_LANES for v in (_rounds_int((r * HASH_REP_MULT + s) % HASH_PRIME) for s in seeds)])
+             for r in reps]
+    values = ", ".join("(" + ", ".join([str(r), *[f"{v}L" for v in vs]]) + ")" for r, *vs in lanes)
+    numbers = df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(rep, {', '.join(f'_l{i}' for i in range(len(lanes[0]) - 1))})")
+    out = df.select("*", F.explode(F.sequence(F.lit(reps.start), F.lit(reps.stop - 1))).alias("rep"))
+    out = out.join(F.broadcast(numbers), "rep")                  # one row for each replicate
+    xs = []
+    for lane in range(len(HASH_LANES)):
+        mult, acc = F.col(f"_l{2 * lane}"), F.col(f"_l{2 * lane + 1}")
+        for k in keys:
+            acc = F.pmod(acc * (mult + 1) + F.pmod(col(k).cast("long"), p), p)
+        xs.append(acc.alias(f"_x{lane}"))
+    names = [f"_x{lane}" for lane in range(len(HASH_LANES))]
+    out = out.select(*df.columns, "rep", *xs)
+    for mult, shift in HASH_ROUNDS:
+        out = out.withColumns({x: F.pmod(F.col(x) * mult, p) for x in names})
+        out = out.withColumns({x: F.col(x).bitwiseXOR(F.shiftright(x, shift)) for x in names})
+    first, second = (F.pmod(F.col(x), p) for x in names)
+    return out.select(*df.columns, "rep", (first * F.lit(1 << 31).cast("long") + second).alias("_h"))
+
+
 def _rounds_sql(x: str) -> str:
     for mult, shift in HASH_ROUNDS:
         x = f"(({x}) * {mult}) % {HASH_PRIME}"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketlab import constants as K
-from basketlab.functions.columns import HASH_BITS, mix_hash
-from basketlab.operators.distribution import group_quantiles
+from basketlab.functions.columns import HASH_BITS, replicated
+from basketlab.operators.distribution import SMALL_PART, _part
+from basketlab.session import materialize
 
 
 @dataclass(frozen=True)
@@ -120,17 +123,65 @@ def diff_of_means(value: Column, in_first: Column) -> Column:
 diff_of_medians = QuantileDifference(0.5)
 
 
-def _quantile_statistics(split: DataFrame, features: list[str], p: float) -> DataFrame:
-    """(rep, feature, stat) of a rank statistic: the quantiles of both groups
-    of all replicates are found together, each pass counting values by
-    (replicate, group, part of the range)."""
-    out = None
-    for f in features:
-        q = group_quantiles(split, ["rep", "_first"], f, [p]).groupBy("rep").agg(
-            (F.max(F.when(F.col("_first"), F.col("quantile"))) - F.max(F.when(~F.col("_first"), F.col("quantile")))).alias("stat"))
-        q = q.select("rep", F.lit(f).alias("feature"), "stat")
-        out = q if out is None else out.unionByName(q)
-    return out
+def _inside(rows: DataFrame, parts: DataFrame, *more: Column) -> DataFrame:
+    """The rows whose value lies in one of ``parts``, with its ``_low``."""
+    return rows.join(F.broadcast(parts), F.col("_x").between(F.col("_low"), F.col("_high"))).select(
+        *rows.columns, "_low", *more)
+
+
+def _holding(counts: DataFrame, by: str, wanted: DataFrame, where: list[str]) -> DataFrame:
+    """The rows of ``wanted`` with the row of ``counts`` (in order of ``by``
+    within ``where``) that holds their rank; ``_before`` rows lie below it."""
+    upto = F.sum("_c").over(Window.partitionBy(*where).orderBy(by))       # BUCKETS parts at most, or SMALL_PART values
+    held = wanted.join(counts.withColumn("_before", upto - F.col("_c")), where).withColumn(
+        "_before", F.col("_before") + F.col("_below"))
+    return held.where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
+
+
+def _quantile_statistic(rows: DataFrame, replicate, feature: str, p: float) -> DataFrame:
+    """(rep, stat): quantile ``p`` of ``feature`` in the first group less that
+    in the second, for all replicates, exactly.
+
+    The value range is cut into parts that all replicates share. One pass
+    counts (replicate, group, part) and finds the parts in which the wanted
+    order statistics lie; those of permuted labels lie close together, so only
+    the few rows in these parts are replicated again, with the parts cut finer,
+    until a part holds few enough values to count each."""
+    x = F.col(feature).cast("double")
+    big = sys.float_info.max
+    rows = rows.withColumn("_x", F.greatest(F.lit(-big), F.least(F.lit(big), x))).where(~F.isnan(x) & x.isNotNull())
+    group, of = ["rep", "_first"], ["rep", "_first", "_low"]
+    parts = rows.agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"))      # one row
+    at = (F.col("_n") - 1) * F.lit(float(p))
+    wanted = done = sizes = None
+    while True:
+        counts = materialize(replicate(_inside(rows, parts, _part("_low", "_high").alias("_p"))).groupBy(*of, "_p").agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_least"), F.max("_x").alias("_most")), "part_counts")
+        if wanted is None:
+            sizes = counts.groupBy(*of).agg(F.sum("_c").alias("_n"))
+            wanted = sizes.select(*of, F.explode(F.array(F.floor(at), F.ceil(at))).alias("_rank"),
+                                  F.lit(0).cast("long").alias("_below")).distinct()
+        # a part's range is that of its values in all replicates, the same for each of them
+        ranges = counts.groupBy("_low", "_p").agg(F.min("_least").alias("_from"), F.max("_most").alias("_high"))
+        found = _holding(counts, "_p", wanted, of).join(ranges, ["_low", "_p"]).select(
+            *group, F.col("_from").alias("_low"), "_high", "_rank", F.col("_before").alias("_below"), "_c")
+        found = materialize(found, "wanted_ranks")
+        closed = found.where("_low = _high").select(*group, "_rank", F.col("_low").alias("_x"))
+        done = closed if done is None else done.unionByName(closed)
+        wanted = found.where("_low < _high")
+        parts = wanted.select("_low", "_high").distinct()     # two for each group and replicate at most
+        todo = wanted.agg(F.max("_c")).first()[0]
+        wanted = wanted.select(*of, "_rank", "_below")
+        if todo is None or todo <= SMALL_PART:
+            break
+    values = replicate(_inside(rows, parts)).groupBy(*of, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    values = done.unionByName(_holding(values, "_x", wanted, of).select(*group, "_rank", "_x"))
+    ends = values.groupBy(*group).agg(F.min(F.struct("_rank", "_x")).alias("lo"), F.max(F.struct("_rank", "_x")).alias("hi"))
+    t = at - F.floor(at)
+    q = ends.join(sizes.select(*group, "_n"), group).select(
+        *group, (F.col("lo._x") * (1 - t) + F.col("hi._x") * t).alias("q"))
+    return q.groupBy("rep").agg((F.max(F.when(F.col("_first"), F.col("q")))
+                                 - F.max(F.when(~F.col("_first"), F.col("q")))).alias("stat"))
 
 
 LEVEL_BITS = 10        # 1,024 counts per replicate and level
@@ -184,15 +235,18 @@ def permutation_statistics(df: DataFrame, key_cols: list[str], label: str, featu
     base = df.select(*key_cols, label, *features)
     is_first = F.col(label) == first_label
     n0 = base.agg(F.count_if(is_first)).first()[0]
-    h = mix_hash(key_cols, "rep")
-    reps = F.explode(F.sequence(F.lit(1), F.lit(size))).alias("rep")
-    cut = _cut_points(base.select(*key_cols, reps).withColumn("_h", h), n0, key_cols)
-    scored = (base.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(size))))
-              .join(F.broadcast(cut), "rep", "left").withColumn("_h", h))     # ``size`` rows at most
+    cut = materialize(_cut_points(replicated(base.select(*key_cols), key_cols, range(1, size + 1)), n0, key_cols), "cut_points")
     first = F.when(F.col("rep") == 0, is_first).otherwise(F.struct("_h", *key_cols) <= F.col("_cut"))
+
+    def replicate(rows: DataFrame) -> DataFrame:
+        return (replicated(rows, key_cols, range(size + 1)).join(F.broadcast(cut), "rep", "left")   # ``size`` rows
+                .withColumn("_first", first))
+
     if isinstance(statistic, QuantileDifference):
-        return _quantile_statistics(scored.withColumn("_first", first), features, statistic.p)
-    wide = scored.withColumn("_first", first).groupBy("rep").agg(
+        out = [_quantile_statistic(base.select(*key_cols, label, f), replicate, f, statistic.p).select(
+            "rep", F.lit(f).alias("feature"), "stat") for f in features]
+        return reduce(DataFrame.unionByName, out)
+    wide = replicate(base).groupBy("rep").agg(
         *[statistic(F.col(f).cast("double"), F.col("_first")).alias(f) for f in features])
     body = ", ".join(f"'{f}', `{f}`" for f in features)
     return wide.selectExpr("rep", f"stack({len(features)}, {body}) AS (feature, stat)")
