@@ -24,6 +24,7 @@ from basketlab.session import file_listing, release_count
 from basketlab.sources.raw import SOURCE_NAMES, read_invoice_lines
 from basketlab.sources.sinks import publish_tables, read_published, read_tables, write_recommendations, write_tables
 from basketlab.sources.tables import read_table
+from basketlab.streaming.orders import replay
 
 # Countries compared in Q9 (names as they occur in the test tables).
 Q9_COUNTRIES = ["NATION_0", "NATION_1", "NATION_2"]
@@ -160,6 +161,14 @@ def q20_order_products(spark, base):
     return present(_pipe(spark, base).order_products.drop("user_id", "order_number"))
 
 
+def q_stream_order_products(spark, base):
+    """Q20 from the same lines arriving in three batches."""
+    p = _pipe(spark, base)
+    arrived = replay(spark, p.clean, _folder(spark, "stream"))
+    with p.owned():
+        return present(arrived.order_products(p.share, p.seed).drop("user_id", "order_number"))
+
+
 def q21_products(spark, base):
     return present(_pipe(spark, base).products)
 
@@ -484,6 +493,7 @@ QUERIES: dict[str, QueryFn] = {
     "mark_reordered": q_mark_reordered,
     "nth_purchase": q_nth_purchase,
     "q20_order_products": q20_order_products,
+    "stream_order_products": q_stream_order_products,
     "q21_products": q21_products,
     "q21_customers": q21_customers,
     "q22_baskets": q22_baskets,

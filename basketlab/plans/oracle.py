@@ -488,6 +488,7 @@ SQL["ingest_roundtrip"] = _q(f"""
 SELECT order_id, stock, description, quantity, CAST(order_date AS TIMESTAMP) AS order_date,
        {r6('unit_price')} AS unit_price, user_id, country, line_no FROM raw""")
 SQL["saved_features"] = SQL["q15_train_features"]
+SQL["stream_order_products"] = SQL["q20_order_products"]
 SQL["published_features"] = SQL["q15_train_features"]
 SQL["saved_recommendations"] = SQL["q16_fixed_score"]
 SQL["user_products"] = _q("SELECT user_id, product_id FROM x_up")

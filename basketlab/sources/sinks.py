@@ -42,7 +42,8 @@ def _file_system(spark: SparkSession, path: str):
     return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _manifest(spark: SparkSession, out_dir: str) -> dict | None:
+def read_manifest(spark: SparkSession, out_dir: str) -> dict | None:
+    """The manifest under ``out_dir``; None where nothing is published."""
     jvm, path, fs = _file_system(spark, f"{out_dir.rstrip('/')}/{MANIFEST}")
     if not fs.exists(path):
         return None
@@ -53,7 +54,7 @@ def _manifest(spark: SparkSession, out_dir: str) -> dict | None:
         stream.close()
 
 
-def _switch(spark: SparkSession, out_dir: str, manifest: dict) -> None:
+def switch_manifest(spark: SparkSession, out_dir: str, manifest: dict) -> None:
     """Put ``manifest`` in place of the former one by one rename."""
     base = out_dir.rstrip("/")
     jvm, new, fs = _file_system(spark, f"{base}/.{MANIFEST}-{uuid.uuid4().hex}")
@@ -78,16 +79,16 @@ def publish_tables(tables: dict[str, DataFrame], out_dir: str, partition_by: dic
     spark = next(iter(tables.values())).sparkSession
     base, version = out_dir.rstrip("/"), f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
     write_tables(tables, f"{base}/versions/{version}", partition_by)
-    former = _manifest(spark, base)
+    former = read_manifest(spark, base)
     published = [version, *(former["published"] if former else [])]
-    _switch(spark, base, {"version": version, "tables": sorted(tables), "published": published[:max(1, keep)]})
+    switch_manifest(spark, base, {"version": version, "tables": sorted(tables), "published": published[:max(1, keep)]})
     delete_paths(spark, [f"{base}/versions/{v}" for v in published[max(1, keep):]])
     return version
 
 
 def read_published(spark: SparkSession, out_dir: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """The tables of the version last published under ``out_dir``."""
-    manifest = _manifest(spark, out_dir)
+    manifest = read_manifest(spark, out_dir)
     if manifest is None:
         raise FileNotFoundError(f"nothing is published under {out_dir}")
     missing = sorted(set(names or []) - set(manifest["tables"]))
@@ -99,7 +100,7 @@ def read_published(spark: SparkSession, out_dir: str, names: list[str] | None =
 def remove_unpublished(spark: SparkSession, out_dir: str) -> list[str]:
     """Delete what jobs left that died before they published; not to be run
     while another job is writing. Returns the versions removed."""
-    base, manifest = out_dir.rstrip("/"), _manifest(spark, out_dir)
+    base, manifest = out_dir.rstrip("/"), read_manifest(spark, out_dir)
     _, path, fs = _file_system(spark, f"{base}/versions")
     found = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
     left = sorted(set(found) - set(manifest["published"] if manifest else []))

@@ -1 +1 @@
-"""No streaming operators: the reference reads whole files once (see README)."""
+"""Structured Streaming: orders as they arrive."""

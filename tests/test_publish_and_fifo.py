@@ -46,7 +46,7 @@ def test_a_job_that_dies_leaves_the_former_set(spark, tmp_path, monkeypatch):
     def killed(*a):
         raise KeyboardInterrupt
 
-    monkeypatch.setattr(sinks, "_switch", killed)              # all tables written, not yet switched
+    monkeypatch.setattr(sinks, "switch_manifest", killed)              # all tables written, not yet switched
     with pytest.raises(KeyboardInterrupt):
         sinks.publish_tables(frames(spark, 6), out)
     monkeypatch.undo()
