@@ -20,7 +20,7 @@ from basketlab import constants as K
 from basketlab.operators import candidates as C
 from basketlab.operators import cleanse, features, orders as O
 from basketlab.plans import models
-from basketlab.session import delete_paths, materialize, owned_by
+from basketlab.session import delete_paths, materialize, materialize_by, owned_by
 from basketlab.sources.raw import invoice_lines_from_tables
 
 # Deny list used with the star-schema test tables (their codes are product
@@ -31,8 +31,17 @@ TEST_TABLE_CODES = ["red bolt"]
 class RetailPipeline:
     def __init__(self, raw: DataFrame, mode: str = "reference", codes: list[str] | None = None,
                  share: float = K.TRAIN_SHARE, seed: int = K.SEED,
-                 checkpoint_stages: bool = True):
+                 checkpoint_stages: bool = True, customer_buckets: int | None = None):
+        """``customer_buckets``: store the tables that later steps join or group
+        by customer (orders, order lines, the (customer, product) base and the
+        customer features) in so many buckets by user_id. Everything from the
+        order lines to the feature frames then runs without an exchange on
+        user_id, as long as the session does not ask for all keys of a join
+        to be co-partitioned (spark.sql.requireAllClusterKeysForCoPartition =
+        false). A bucket is one task, so leave it unset where one customer may hold a
+        large share of the lines: exchanges can be split, buckets cannot."""
         self.raw = raw
+        self.customer_buckets = customer_buckets
         self.checkpoint_stages = checkpoint_stages
         self.written: list[str] = []
         self.released = False
@@ -59,7 +68,7 @@ class RetailPipeline:
         pipeline (``release`` deletes them)."""
         return owned_by(self.written)
 
-    def _stage(self, build: Callable[[], DataFrame], label: str) -> DataFrame:
+    def _stage(self, build: Callable[[], DataFrame], label: str, by_customer: bool = False) -> DataFrame:
         """The frame of ``build`` as a stage table. Tables that operators
         wrote on the way are deleted once the stage is written."""
         on_the_way: list[str] = []
@@ -68,7 +77,10 @@ class RetailPipeline:
         if not self.checkpoint_stages:
             self.written += on_the_way
             return df
-        out = materialize(df, label, self.written)
+        if by_customer and self.customer_buckets:
+            out = materialize_by(df, "user_id", self.customer_buckets, label, self.written)
+        else:
+            out = materialize(df, label, self.written)
         delete_paths(out.sparkSession, on_the_way)
         return out
 
@@ -103,11 +115,11 @@ class RetailPipeline:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self._stage(lambda: O.build_orders(self.clean, self.share, self.seed), "orders")
+        return self._stage(lambda: O.build_orders(self.clean, self.share, self.seed), "orders", by_customer=True)
 
     @cached_property
     def order_products(self) -> DataFrame:
-        return self._stage(lambda: O.build_order_products(self.clean, self.orders), "order_products")
+        return self._stage(lambda: O.build_order_products(self.clean, self.orders), "order_products", by_customer=True)
 
     @cached_property
     def products(self) -> DataFrame:
@@ -124,7 +136,7 @@ class RetailPipeline:
 
     @cached_property
     def up_base(self) -> DataFrame:
-        return self._stage(lambda: features.user_product_base(self.priors), "up_base")
+        return self._stage(lambda: features.user_product_base(self.priors), "up_base", by_customer=True)
 
     @cached_property
     def product_features(self) -> DataFrame:
@@ -132,7 +144,7 @@ class RetailPipeline:
 
     @cached_property
     def user_features(self) -> DataFrame:
-        return self._stage(lambda: features.user_features(self.up_base, self.priors, self.orders), "user_features")
+        return self._stage(lambda: features.user_features(self.up_base, self.priors, self.orders), "user_features", by_customer=True)
 
     @cached_property
     def up_features(self) -> DataFrame:

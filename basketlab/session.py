@@ -74,6 +74,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 _WRITTEN: list[str] = []
 _OWNERS: list[list[str]] = []
+_TABLE = "table:"           # marks the name of a catalog table among the paths
 
 
 @contextmanager
@@ -112,11 +113,36 @@ def materialize(df, label: str = "stage", written: list[str] | None = None):
     return spark.read.parquet(path)
 
 
+def materialize_by(df, key: str, buckets: int, label: str = "stage", written: list[str] | None = None):
+    """``materialize`` with the rows dealt to ``buckets`` files by the hash of
+    ``key`` and sorted by it. Two such tables of one number of buckets meet in
+    a join on ``key``, and are grouped by it, without an exchange.
+
+    Spark knows a table's buckets from its catalog only, so it is an external
+    table there, under a name of its own, which ``delete_paths`` drops."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    (df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet")
+     .saveAsTable(name))
+    if written is None and _OWNERS:
+        written = _OWNERS[-1]
+    for owner in (_WRITTEN, *([] if written is None else [written])):
+        owner += [f"{_TABLE}{name}", path]
+    return spark.table(name)
+
+
 def delete_paths(spark: SparkSession, paths: list[str]) -> None:
-    """Delete written stage tables (recursively) through Hadoop's FileSystem."""
+    """Delete written stage tables (recursively) through Hadoop's FileSystem,
+    and their names from the catalog where they have one."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in list(paths):
+        if p.startswith(_TABLE):
+            spark.sql(f"DROP TABLE IF EXISTS {p[len(_TABLE):]}")
+            if paths is not _WRITTEN and p in _WRITTEN:
+                _WRITTEN.remove(p)
+            continue
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
         if paths is not _WRITTEN and p in _WRITTEN:
