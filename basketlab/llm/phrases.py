@@ -19,19 +19,19 @@ its words' bytes, a path before its continuations.
    deepest ones, are shared (``pack_automaton``).
 2. Prefix ranges. Every SAMPLE-th path of each shard is numbered by
    ``dense_index``, and every few of these is a cut point: one short key for
-   each RANGE_ENTRIES paths of the data (40 bytes for about 10 MB of text), so
+   each RANGE_ENTRIES paths of the data (40 bytes for about 5 MB of text), so
    each range holds bounded work however frequent a word or a pair of words
-   is; a hot prefix is cut inside. Cut points are part of the task closures.
+   is; a hot prefix is cut inside. The cut points are broadcast.
 3. Union. Shards are cut at these points, and the pieces of one range are united,
-   summing outputs. Only counts from ``min_count`` on are kept: a part occurs
+   summing outputs, in levels where there are many. Only counts from ``min_count`` on are kept: a part occurs
    at least as often as its phrase.
 4. Composition. The parts that candidates ask for, each once, are
    an acceptor, cut into the same ranges and composed with the range's
    automaton, which gives l and r.
 
 Scores use decimals of 38 digits and integer division, exact up to counts of
-10^15. The best of each language are ranked with a window that Spark limits
-in every partition before the shuffle.
+10^15. The best of each language are found in SALTS parts by hash first, and
+ranked among the at most SALTS x ``top`` that are left.
 
 Defined results: null texts count as empty, a null language is ``und``; words
 of any script or length are kept as they are; repeated rows count each time;
@@ -54,13 +54,15 @@ from pyspark.sql import functions as F
 from basketlab.llm.arrays import ROW_BYTES, flat, lean, row_blocks, words
 from basketlab.llm.store import read
 from basketlab.operators.indexing import dense_index
-from basketlab.session import materialize
+from basketlab.session import delete_paths, materialize
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 COVERED_PERCENT = 50           # a longer candidate with this share of the occurrences replaces a shorter one
-SHARD_BYTES = 8 << 20
-SAMPLE = 1 << 14
-RANGE_ENTRIES = 1 << 21
+SHARD_BYTES = 4 << 20
+SAMPLE = 1 << 13
+RANGE_ENTRIES = 1 << 20
+FAN = 256                      # runs of ranges that an automaton is cut into at a time
+SALTS = 64                     # parts in which each language's best are found first
 
 _PIECE = np.zeros(256, bool)
 _PIECE[[ord(c) for c in ".,;:!?\n\v\f\r"]] = True
@@ -166,13 +168,15 @@ def pack_automaton(a: Automaton) -> bytes:
         first = np.cumsum(arcs) - arcs
         single, several = arcs == 1, arcs > 1
         lone = first[single]
-        shared, which = np.unique(np.stack([a.label[d][lone], out[lone]], 1), axis=0, return_inverse=True)
+        least = int(out.min(initial=0))
+        span = int(out.max(initial=0)) - least + 1
+        shared, which = np.unique(a.label[d][lone] * span + (out[lone] - least), return_inverse=True)
         state = np.zeros(len(arcs), np.int64)
-        state[single] = 1 + which.ravel()
+        state[single] = 1 + which
         state[several] = 1 + len(shared) + np.arange(several.sum())
         rest = np.repeat(several, arcs)
         arrays += [state, np.concatenate([[0], np.ones(len(shared), np.int64), arcs[several]]),
-                   np.append(shared[:, 0], a.label[d][rest]), np.append(shared[:, 1], out[rest])]
+                   np.append(shared // span, a.label[d][rest]), np.append(shared % span + least, out[rest])]
     text = a.labels.cast(pa.large_binary())
     raw, offsets = flat(text.cast(pa.large_string()))
     arrays.append(np.diff(offsets))
@@ -389,22 +393,46 @@ def cut_points(shards: DataFrame, max_words: int, range_entries: int, sample: in
     return sorted({tuple(v for v in r if v is not None) for r in picked})
 
 
-def count_ranges(shards: DataFrame, cuts: list[tuple[str, ...]], min_count: int) -> DataFrame:
+def count_ranges(shards: DataFrame, cuts: list[tuple[str, ...]], min_count: int, fan: int = FAN) -> DataFrame:
     """(range, body): the united automaton of each prefix range, pruned to
-    ``min_count``, as a written table."""
-    def deal(batches):
-        for batch in batches:
-            for body in batch.column("body"):
-                for i, p in pieces(unpack_automaton(body.as_py()), cuts):
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([pack_automaton(p)], pa.binary())],
-                                                     ["range", "body"])
+    ``min_count``, as a written table.
+
+    With more than ``fan`` ranges the union goes in levels: automata are first
+    cut into at most ``fan`` runs of neighbouring ranges, the pieces of one run
+    are united in as many groups as it has ranges, and the results are cut
+    again. So a piece stays large, and their number grows with the
+    data and not with shards x ranges."""
+    spark = shards.sparkSession
+    shared = spark.sparkContext.broadcast(cuts)
+    width = 1                                   # ranges in one run
+    while width * fan < len(cuts) + 1:
+        width *= fan
+    rows, before, written = shards.select(F.lit(0).alias("range"), "body"), len(cuts) + 1, []
+    while True:
+        last, span, run = width == 1, before, width
+
+        def deal(batches):
+            for batch in batches:
+                for at, body in zip(batch.column("range").to_pylist(), batch.column("body")):
+                    mine = shared.value[at * span:(at + 1) * span - 1][run - 1::run]
+                    group = zlib.crc32(body.as_py()) % run
+                    for i, p in pieces(unpack_automaton(body.as_py()), mine):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([at * (span // run) + i], pa.int32()), pa.array([group], pa.int32()),
+                             pa.array([pack_automaton(p)], pa.binary())], ["range", "part", "body"])
 
-    def unite(table: pa.Table) -> pa.Table:
-        a = pruned(union([unpack_automaton(x.as_py()) for x in table.column("body")]), min_count)
-        return pa.table({"range": table.column("range").slice(0, 1), "body": pa.array([pack_automaton(a)], pa.binary())})
+        def unite(table: pa.Table) -> pa.Table:
+            a = union([unpack_automaton(x.as_py()) for x in table.column("body")])
+            body = pack_automaton(pruned(a, min_count) if last else a)
+            return pa.table({"range": table.column("range").slice(0, 1), "body": pa.array([body], pa.binary())})
 
-    dealt = shards.mapInArrow(lean(deal), "range int, body binary")
-    return materialize(dealt.groupBy("range").applyInArrow(unite, "range int, body binary"), "ranges")
+        here: list[str] = []
+        dealt = rows.mapInArrow(lean(deal), "range int, part int, body binary")
+        rows = materialize(dealt.groupBy("range", "part").applyInArrow(unite, "range int, body binary"), "ranges", here)
+        delete_paths(spark, written)
+        if last:
+            return rows
+        before, width, written = width, width // fan, here
 
 
 def frequent(ranges: DataFrame, min_count: int) -> DataFrame:
@@ -431,9 +459,11 @@ def frequent(ranges: DataFrame, min_count: int) -> DataFrame:
 def look_up(asked: DataFrame, ranges: DataFrame, cuts: list[tuple[str, ...]]) -> DataFrame:
     """(lang, phrase, f) of the distinct rows of ``asked`` (lang, phrase):
     composition with the counts, range by range."""
+    shared = asked.sparkSession.sparkContext.broadcast(cuts)
+
     def place(batches):
         for batch in batches:
-            at = [bisect_right(cuts, (l, *p.split(" "))) for l, p in zip(batch.column("lang").to_pylist(),
+            at = [bisect_right(shared.value, (l, *p.split(" "))) for l, p in zip(batch.column("lang").to_pylist(),
                                                                         batch.column("phrase").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["range", *batch.schema.names])
 
@@ -458,12 +488,12 @@ def _subphrase(words, start, size):
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = MIN_COUNT,
                  max_words: int = MAX_WORDS, top: int = TOP, covered_percent: int = COVERED_PERCENT,
-                 range_entries: int = RANGE_ENTRIES, sample: int = SAMPLE) -> DataFrame:
+                 range_entries: int = RANGE_ENTRIES, sample: int = SAMPLE, fan: int = FAN) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the best phrases of each
     language."""
     shards = shard_table(docs, text_col, lang_col, max_words)
     cuts = cut_points(shards, max_words, range_entries, sample)
-    ranges = count_ranges(shards, cuts, min_count)
+    ranges = count_ranges(shards, cuts, min_count, fan)
     counted = materialize(frequent(ranges, min_count), "phrases")
     found = counted.where("words >= 2").select("lang", "phrase", "words", F.col("f").alias("a"),
                                                F.split("phrase", " ").alias("w"))
@@ -490,8 +520,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
 
     n = counted.where("words = 0").groupBy("lang").agg(F.sum("f").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    best = (kept.select("lang", "phrase", "x.*").withColumn("rank", F.row_number().over(order).cast("long"))
-            .where(F.col("rank") <= top))
+    salted = Window.partitionBy("lang", "salt").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+    best = (kept.select("lang", "phrase", "x.*").withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+            .withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= top)
+            .withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top))
     return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
