@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import NOT_ALNUM, flat, lean, row_blocks, word_hashes
+from basketlab.llm.arrays import NOT_ALNUM, flat, lean, release, row_blocks, word_hashes
 from basketlab.llm.labelled import fit_sample, remainder
 from basketlab.llm.store import read
 
@@ -237,6 +237,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train, max_fit_rows: int =
     ids = np.concatenate(back) if back else np.zeros(0, np.int32)
     scores = net.scores(ids, np.cumsum([0] + [len(t) for t in back]))
     by_lang, overall = calibrate(scores, y[held], [x for x, h in zip(langs, held) if h], share)
+    del got, texts, back, ids
+    release()                                                    # the driver lives on
     return net, by_lang, overall
 
 
