@@ -15,6 +15,18 @@ def con(sf_small):
     return duck(sf_small)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_rounds():
+    """Models with few rounds: what is compared does not depend on them."""
+    from basketlab import constants as K
+    kept = [(d, dict(d)) for d in (K.GBT_LEAFWISE, K.GBT_DEPTHWISE, K.FOREST)]
+    K.GBT_LEAFWISE["maxIter"] = K.GBT_DEPTHWISE["maxIter"] = 2
+    K.FOREST["numTrees"] = 5
+    yield
+    for d, was in kept:
+        d.update(was)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, sf_small, con, name):
     got = entry.queries()[name](spark, sf_small).toPandas()
