@@ -160,5 +160,14 @@ def word_hashes(raw, offsets, separator: np.ndarray = SPACE):
     return range_hashes(prefix_sums(raw), s, e), row
 
 
+def by_shard(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its places in order) of every shard that occurs: one sort,
+    however many shards there are."""
+    order = np.argsort(shard, kind="stable")
+    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+        yield int(shard[order[a]]), order[a:b]
+
+
 def as_long(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

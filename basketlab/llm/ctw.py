@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import SPACE, U, block_hashes, flat, words
+from basketlab.llm.arrays import SPACE, U, block_hashes, by_shard, flat, words
 from basketlab.llm.store import binary_arrays, chunk_table, read, to_arrays, unpack
 from basketlab.session import materialize
 
@@ -138,11 +138,9 @@ def ask(chunk: int, texts: pa.Array, trained: np.ndarray, shards: int, depth: in
     wn = np.add.reduceat((both & U(1)).astype(np.int64), ws) if len(ws) else np.zeros(0, np.int64)
     w = w[ws]
     wto = (w % U(shards)).astype(np.int64)
-    for s in range(shards):
-        for kind, keys, count, where in (("gram", gram, n, to), ("word", w, wn, wto)):
-            m = where == s
-            if m.any():
-                yield kind, s, chunk, binary_arrays(key=_deltas(keys[m]), n=count[m].astype(np.int32))
+    for kind, keys, count, where in (("gram", gram, n, to), ("word", w, wn, wto)):
+        for s, m in by_shard(where):
+            yield kind, s, chunk, binary_arrays(key=_deltas(keys[m]), n=count[m].astype(np.int32))
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -334,12 +332,10 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, id_col: str =
         word, at = np.unique(h, return_inverse=True)
         p, c = np.zeros(len(gram)), np.zeros(len(word), np.int64)
         to, wto = shard_of(gram, shards), (word % U(shards)).astype(np.int64)
+        of = {"gram": (p, dict(by_shard(to))), "word": (c, dict(by_shard(wto)))}
         for kind, s, body in zip(*(answers.column(x).to_pylist() for x in ("kind", "shard", "body"))):
-            x = to_arrays(body)["x"]
-            if kind == "gram":
-                p[to == s] = x
-            else:
-                c[wto == s] = x
+            out, places = of[kind]
+            out[places[s]] = to_arrays(body)["x"]
         n = len(offs) - 1
         total = np.zeros(n)
         for at_doc, packed, starts, found, bits in _gram_blocks(data, offs, DEPTH):

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import U, flat, mix, prefix_sums, range_hashes
+from basketlab.llm.arrays import U, by_shard, flat, mix, prefix_sums, range_hashes
 from basketlab.llm.store import binary_arrays, chunk_table, read, to_arrays, unpack
 from basketlab.llm.suffix import permuted_prefixes, suffix_array
 from basketlab.session import materialize
@@ -307,9 +307,10 @@ def repeated_ranges(table: DataFrame) -> DataFrame:
                 order = np.argsort(keep["a"], kind="stable")
                 keep = {k: v[order] for k, v in keep.items()}
                 to = (mix(keep["a"].astype(U)) % U(shards)).astype(np.int64)
-                rows = [("anchor", s, {k: v[to == s] for k, v in keep.items()}) for s in range(shards)]
-                rows.append(("gone", chunk % shards, {k: gone[k] for k in ("row", "lo", "n")}))
-                for kind, s, x in rows:
+                rows = [("anchor", s, m, keep) for s, m in by_shard(to)]
+                rows.append(("gone", chunk % shards, slice(None), {k: gone[k] for k in ("row", "lo", "n")}))
+                for kind, s, m, x in rows:
+                    x = {k: v[m] for k, v in x.items()}
                     if len(x["row"]):
                         x = x | {k: x[k].astype(np.int32) for k in ("row", "lo", "n")}
                         yield pa.RecordBatch.from_pylist(
