@@ -1,7 +1,8 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A paragraph is a line of a text; lines with fewer than MIN_WORDS words are
-never removed. Paragraphs with the same word sequence are one node. Nodes get
+A paragraph is a line of a text with at least ``min_words`` words (by default
+every line that has a word; a line under five words is one shingle, so only
+the same words repeat it). Paragraphs with the same word sequence are one node. Nodes get
 MinHash signatures over five-word shingles, cut into bands; the number of
 bands is tuned from the wanted recall: with r rows a band meets a pair of
 similarity s with probability s^r, so ln(1 - recall) / ln(1 - s^r) bands miss
@@ -43,11 +44,11 @@ from basketlab.llm.arrays import SPACE, U, _power, as_long, flat, mix, row_block
 from basketlab.llm.components import connected_components
 from basketlab.llm.neardup import SIMILARITY, TEXT_BYTES, blocks_of, family_links
 from basketlab.llm.shingles import WIDTH, _elements, _sequence_keys, _words
-from basketlab.llm.store import read
+from basketlab.llm.store import join_counted, read
 from basketlab.llm.substring import _window_min
 from basketlab.session import materialize
 
-MIN_WORDS = 10
+MIN_WORDS = 1
 PASSAGE, GRAM = 50, 26
 RECALL = 0.999
 BAND_ROWS = 3
@@ -143,8 +144,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, at, class, first_id, first_at) of every paragraph to remove."""
     bands = tuned_bands(similarity, recall, rows)
     table = paragraph_table(docs, id_col, text_col, min_words, bands, rows)
-    nodes = table.groupBy("node").agg(F.min(F.struct("id", "at")).alias("first"))
-    nodes = materialize(nodes.select("node", "first.id", "first.at"), "nodes")
+    nodes = table.groupBy("node").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("m"))
+    nodes = materialize(nodes.select("node", "first.id", "first.at", "m"), "nodes")
     cells = (table.join(nodes, ["node", "id", "at"], "left_semi")
              .select("node", F.explode("bands").alias("band")))     # repeated rows repeat cells, which changes nothing
     hubs = cells.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last")
@@ -152,17 +153,19 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     family = materialize(connected_components(near, "node", "hub").select(
         F.col("node").alias("id"), F.col("component").alias("family")), "families")
     sizes = table.select(F.col("node").alias("id"), "n").distinct()
-    members = (blocks_of(family, sizes).withColumnRenamed("id", "node").join(nodes, "node"))
+    members = (blocks_of(family, sizes).withColumnRenamed("id", "node").join(nodes.drop("m"), "node"))
     members = materialize(members, "members")
     links = materialize(family_links(paragraph_elements(docs, members, id_col, text_col), similarity), "links")
     classes = connected_components(links).select("node", F.col("component").alias("class"))
-    where = table.select("id", "at", "node").distinct().join(classes, "node", "left").select(
-        "id", "at", F.coalesce("class", "node").alias("class"))
-    where = materialize(where, "occurrences")
-    first = where.groupBy("class").agg(F.min(F.struct("id", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where(
-        "n > 1").select("class", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at"))
-    return where.join(first, "class").where("id <> first_id or at <> first_at").select(
-        "id", "at", "class", "first_id", "first_at")
+    named = materialize(nodes.join(classes, "node", "left").select(
+        "node", F.col("m").alias("copies"), "id", "at", F.coalesce("class", "node").alias("class")), "named")
+    first = named.groupBy("class").agg(F.min(F.struct("id", "at")).alias("f"), F.sum("copies").alias("n"),
+                                       F.count(F.lit(1)).alias("m")).where("n > 1")
+    first = materialize(first.select("class", F.col("f.id").alias("first_id"), F.col("f.at").alias("first_at"), "m"), "classes")
+    again = materialize(join_counted(named.select("node", "copies", "class"), first, ["class"])
+                        .withColumnRenamed("copies", "m"), "repeated")
+    return (join_counted(table.select("id", "at", "node"), again, ["node"]).where("id <> first_id or at <> first_at")
+            .select("id", "at", "class", "first_id", "first_at").distinct())
 
 
 def _run_hashes(sums: np.ndarray, width: int) -> np.ndarray:
@@ -227,18 +230,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     found = materialize(plain.mapInArrow(contexts, "id long, t long, a long, c long, p int, n int"), "contexts")
     shared = (found.groupBy("a").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("low"), F.max("c").alias("high"))
-              .where("m > 1").select("a", (F.col("low") < F.col("high")).alias("differ")))
-    shared = materialize(found.join(shared, "a"), "shared")
+              .where("m > 1").select("a", (F.col("low") < F.col("high")).alias("differ"), "m"))
+    shared = materialize(join_counted(found, materialize(shared, "anchors"), ["a"]), "shared")
     place = F.struct("id", "t", "p")
-    first = shared.groupBy("a", "c").agg(F.min(place).alias("first"))
-    shared = materialize(shared.join(first, ["a", "c"]).select(
+    first = materialize(shared.groupBy("a", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("m")), "firsts")
+    shared = materialize(join_counted(shared, first, ["a", "c"]).select(
         "id", "t", "p", "n", "differ", (place == F.col("first")).alias("kept")).distinct(), "compared")
     equal = shared.where("not kept").select("id", "t", F.col("p").alias("lo"), (F.col("p") + F.col("n") + PASSAGE - 1).alias("hi"))
     wanted = shared.where("kept and differ").groupBy("id", "t").agg(F.collect_list(F.struct("p", "n")).alias("wanted"))
     strings = materialize(plain.join(wanted, ["id", "t"]).select("id", "t", "wanted", "text").mapInArrow(
         runs, "id long, t long, h long, p int"), "strings")
-    again = strings.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
-    later = strings.join(again.select("h", "first"), "h").where(place > F.col("first")).select(
+    again = strings.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("m"))
+    again = materialize(again.where("first < last").drop("last"), "again")
+    later = join_counted(strings, again, ["h"]).where(place > F.col("first")).select(
         "id", "t", F.col("p").alias("lo"), (F.col("p") + PASSAGE).alias("hi"))
     text = Window.partitionBy("id", "t").orderBy("lo", "hi")        # one document
     spans = equal.unionByName(later).distinct().withColumn(

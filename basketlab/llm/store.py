@@ -72,3 +72,17 @@ def binary_arrays(**arrays: np.ndarray) -> bytes:
 def to_arrays(body: bytes) -> dict[str, np.ndarray]:
     t = unpack(body)
     return {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], share: int = 10_000, count: str = "m") -> DataFrame:
+    """``rows`` joined with the written table ``keys``, one row for each key,
+    whose column ``count`` says how many of ``rows`` have it (left out of the
+    result). A key with more than 1 / ``share`` of all those rows, of which
+    there are fewer than ``share`` whatever the input, is broadcast, so its
+    rows stay where they are; the others are joined by a shuffle, in which no
+    key has more than that part."""
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    often = F.col(count) * share > total
+    hot = keys.where(often).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(keys.where(~often).drop(count), on))

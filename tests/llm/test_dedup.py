@@ -171,9 +171,9 @@ def test_passages_inside_longer_lines(spark, rows):
         assert not got[r.id] & set(range(r.lo, r.hi + 1))
         got[r.id].update(range(r.lo, r.hi))
     assert got == want and len(want[101]) >= 60 and len(want[104]) >= 60 and 105 not in want
-    lines = {(r.id, r.at) for r in P.repeated_paragraphs(docs).collect()}
+    lines = {(r.id, r.at) for r in P.repeated_paragraphs(docs, min_words=10).collect()}
     assert not any(i in range(100, 106) for i, _ in lines)
-    kept = {r.doc_id: r.text for r in P.drop_repeats(docs).collect()}
+    kept = {r.doc_id: r.text for r in P.drop_repeats(docs, min_words=10).collect()}
     for i in range(100, 106):
         w = dict(order)[i].split()
         assert kept[i].split() == [x for k, x in enumerate(w) if k not in want[i]]
@@ -181,6 +181,37 @@ def test_passages_inside_longer_lines(spark, rows):
     assert P.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_a_short_footer_line_stays_once(spark):
+    rng = random.Random(9)
+    from tests.llm.conftest import prose
+    footer = "All rights reserved by the  Author"
+    rows = [(k, f"{prose(rng, 30)}\n{footer.upper() if k % 2 else footer}\n\n \n", None) for k in range(30)]
+    rows += [(29, rows[29][1], None), (40, "Read more\nRead less\nread MORE", None), (41, "Read more", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, at string").repartition(4)
+    got = {(r.id, r.at): (r.first_id, r.first_at) for r in P.repeated_paragraphs(docs).collect()}
+    assert got == {(k, 1): (0, 1) for k in range(1, 30)} | {(40, 2): (40, 0), (41, 0): (40, 0)}
+    kept = {r.doc_id: r.text for r in P.drop_repeats(docs).collect()}
+    assert kept[40] == "Read more\nRead less" and kept[41] == "" and footer in kept[0] and footer not in kept[2]
+
+
+@pytest.mark.parametrize("share", [1, 3, 10_000])
+def test_counted_join_is_a_join(spark, share):
+    from basketlab.llm.store import join_counted
+    rows = spark.range(200).selectExpr("id", "if(id % 3 = 0, 7, id % 40) as k")
+    keys = rows.groupBy("k").count().where("k <> 5").selectExpr("k", "count as m", "k * 10 as x")
+    got = join_counted(rows, keys, ["k"], share)
+    assert got.columns == ["k", "id", "x"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in rows.join(keys.drop("m"), "k").collect())
+    assert join_counted(rows, keys.limit(0), ["k"]).count() == 0
+
+
+def test_by_shard():
+    from basketlab.llm.arrays import by_shard
+    to = np.random.default_rng(3).integers(0, 1000, 500)
+    assert {s: m.tolist() for s, m in by_shard(to)} == {int(s): np.flatnonzero(to == s).tolist() for s in np.unique(to)}
+    assert list(by_shard(to[:0])) == []
+
+
 def test_band_count_follows_recall():
     b = P.tuned_bands(0.8, 0.999, 3)
     assert 1 - (1 - 0.8 ** 3) ** b >= 0.999 > 1 - (1 - 0.8 ** 3) ** (b - 1)
