@@ -270,6 +270,21 @@ def test_repeated_strings_against_brute_force(docs, rows, nothing):
     assert S.deduplicate(nothing).count() == 0
 
 
+def test_a_line_in_most_documents_over_many_chunks_and_shards(spark, monkeypatch):
+    from tests.llm.conftest import prose
+    rng = random.Random(11)
+    line = prose(rng, 60)
+    rows = [(k, f"{prose(rng, 40)}\n{line if k % 5 else line[:90]}\n{prose(rng, 40)}") for k in range(60)]
+    rows.append((60, rows[3][1] + rows[3][1]))
+    monkeypatch.setattr(S, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(S, "SHARD_BYTES", 1000)
+    want = brute_cut(rows)
+    got = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == {
+        (i, *want[i, t.encode()]) for i, t in rows}
+    assert sum(r.n_removed >= len(line) for r in got) >= 45
+
+
 @pytest.mark.parametrize("hot", [0, 10 ** 9])
 def test_frequent_anchors_take_the_string_path(monkeypatch, rows, hot):
     """The whole method without Spark: chunks, shards, suffix shards."""

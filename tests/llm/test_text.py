@@ -146,7 +146,11 @@ def ctw_reference(train, depth):
     return score
 
 
-def test_context_trees_against_the_definition(spark):
+@pytest.mark.parametrize("chunk, shard", [(ctw.CHUNK_BYTES, ctw.SHARD_BYTES), (200, 40)])
+def test_context_trees_against_the_definition(spark, monkeypatch, chunk, shard):
+    """Also with many chunks and shards."""
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(ctw, "SHARD_BYTES", shard)
     texts = ["The cat sat", "the  cat\nran", "a cat sat on the mat", "", None, "Éa cat", "dog", "cat sat", "the mat"]
     ids = list(range(8)) + [None]
     df = spark.createDataFrame([(i, t, "clash") for i, t in zip(ids, texts)], "doc_id long, text string, kind string")
