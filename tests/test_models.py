@@ -48,3 +48,19 @@ def test_validation_beats_a_constant_and_sweep_agrees(scored):
     flat, _ = E.recommend(cut.withColumn("pred", F.lit(0.5)), truth, 0.09)
     assert max(r.mean_f1 for r in sweep.values()) >= E.mean_f1(flat).first().mean_f1
     assert kept.select("order_id").distinct().count() == per_order.count()
+
+
+def test_models_are_fitted_side_by_side(spark, monkeypatch):
+    """No fit waits for another to end: each meets the other three."""
+    import threading
+    rows = [(i % 2, *[float((i * 7 + j) % 5) for j in range(len(K.ALL_FEATURES))]) for i in range(40)]
+    df = spark.createDataFrame(rows, ["labels", *K.ALL_FEATURES])
+    met = threading.Barrier(4)
+    for cls in (M.LogisticRegression, M.GBTClassifier, M.RandomForestClassifier):
+        def fit(self, data, plain=cls.fit):
+            met.wait(60)
+            return plain(self, data)
+        monkeypatch.setattr(cls, "fit", fit)
+    fitted = M.fit_models(df, M.ModelSettings().with_rounds(1, trees=2))
+    assert list(fitted) == ["logistic", "gbt_leafwise", "gbt_depthwise", "forest"]
+    assert fitted["forest"].getNumTrees == 2 and fitted["gbt_leafwise"].getNumTrees == 1
