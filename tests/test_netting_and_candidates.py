@@ -50,3 +50,21 @@ def test_candidates_are_the_bought_products(spark):
     assert sorted((r.order_id, r.product_id) for r in got.collect()) == [(10, 5), (10, 6)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_active_lines_move_once(spark):
+    """The lines of customers with more than three invoices; wide lines are
+    dealt by invoice, and consolidating them needs no exchange of its own."""
+    from pyspark.sql import functions as F
+    from basketlab.operators import cleanse
+    rows = [(u * 100 + o, p, f"s{p}", "d", 1, None, 1, u, "c", n) for u in range(1, 6) for o in range(u)
+            for n, p in enumerate((1, 2, 1))] + [(401, 9, "s9", "d", 1, None, 1, 1, "c", 7)]      # an invoice of two customers
+    df = spark.createDataFrame(rows, "order_id long, product_id long, stock string, description string, quantity long, "
+                               "order_date timestamp_ntz, unit_price int, user_id long, country string, line_no long")
+    got, want = cleanse.active_lines(df), cleanse.active_customers(df)
+    assert sorted(got.collect()) == sorted(want.select(got.columns).collect()) and got.count() == 27
+    plan = cleanse.consolidate_lines(got)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "product_id" in line]
+    assert not wide
+    old, new = (sorted(cleanse.consolidate_lines(x).select(F.to_json(F.struct("*"))).collect()) for x in (want, got))
+    assert old == new
