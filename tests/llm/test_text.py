@@ -189,6 +189,44 @@ def test_toxicity_held_out(spark, sf_small):
     assert toxicity.keep_clean(docs, model).count() == docs.count() - flagged
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """The word "zork" is only in toxic rows beyond the first 3,000 by the
+    hash of the id."""
+    ids = spark.range(6000).withColumnRenamed("id", "doc_id")
+    order = [r.doc_id for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    rows = [(i, "plain words " + ("of no harm" if k % 6 == 0 else "blip" if k < 3900 else "zork") + f" n{i}", "en",
+             int(k % 6 > 0)) for k, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs = df.drop("toxic").repartition(3)
+    models = [toxicity.fit_toxicity(docs, df.select("doc_id", "toxic"), F.lit(True), shard_words=n) for n in (1 << 22, 4000)]
+    asked = spark.createDataFrame([(1, "plain words zork", "en"), (2, "plain words of no harm", "en")], docs.schema)
+    for net, by_lang, overall in models:
+        got = {r.id: r for r in toxicity.toxicity_scores(asked, (net, by_lang, overall)).collect()}
+        assert got[1].score > 0.9 > 0.4 > got[2].score and got[1].toxic and not got[2].toxic
+    again = toxicity.fit_toxicity(docs.repartition(5), df.select("doc_id", "toxic"), F.lit(True), shard_words=4000)
+    assert (again[0].tables[2] == models[1][0].tables[2]).all() and again[1:] == models[1][1:]
+
+
+def test_toxicity_thresholds_by_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows = [(lang, float(rng.integers(0, 40)) / 40, int(rng.random() < 0.4)) for lang in ["en"] * 300 + ["de"] * 30 + [None] * 40]
+    by_lang, overall = toxicity.thresholds(spark.createDataFrame(rows, "lang string, score double, label int"), 0.2)
+
+    def best(part):
+        n, y = len(part), sum(r[2] for r in part)
+        a, b, out = 0.2 / (y / n), 0.8 / (1 - y / n), []
+        cuts = sorted({r[1] for r in part})
+        for k, s in enumerate(cuts):
+            tp = a * sum(r[2] for r in part if r[1] >= s)
+            kept = tp + b * sum(1 - r[2] for r in part if r[1] >= s)
+            out.append((2 * tp / (kept + a * y), s, (s + (cuts[k - 1] if k else 0)) / 2))
+        return max(out)[2]
+
+    assert by_lang.keys() == {"en"}                              # German has too few rows of a label
+    assert by_lang["en"] == pytest.approx(best(rows[:300])) and overall == pytest.approx(best(rows))
+    assert toxicity.thresholds(spark.createDataFrame(rows[:20], "lang string, score double, label int"), 0.2) == ({}, 0.5)
+
+
 def test_quality_held_out(spark, sf_small):
     folder = sf_small.replace("sf0.001", "sf0.01")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
