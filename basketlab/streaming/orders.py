@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 from basketlab.functions.columns import whole_days_between
 from basketlab.operators.orders import cart_position, holdout_split, orders_from_lines
 from basketlab.operators.sequence import number_within
-from basketlab.session import delete_paths, owned_by
+from basketlab.session import delete_paths, materialize, owned_by
 from basketlab.sources.sinks import read_manifest, switch_manifest
 
 LINES = ("order_id long, product_id long, order_date timestamp_ntz, unit_price decimal(12,2), user_id long, "
@@ -103,9 +103,11 @@ class OrderStream:
             later = (F.col("order_date") > F.col("last_date")) | (
                 (F.col("order_date") == F.col("last_date")) & (F.col("order_id") > F.col("last_id")))
             on_time = F.col("_known").isNull() & (F.col("last_number").isNull() | later)
-            late_ids = first.where(~on_time).select("order_id")
+            first = materialize(first.withColumn("_fresh", F.coalesce(on_time, F.lit(False))), "arrived")
+            # a table of its own: its size is known, so few late orders are looked up without moving the lines
+            late_ids = materialize(first.where(~on_time).select("order_id"), "late_orders")
             write("late", lines.join(late_ids, "order_id", "left_semi"))
-            fresh = first.where(on_time).select("user_id", "order_id", "order_date", "last_number", "last_date")
+            fresh = first.where("_fresh").select("user_id", "order_id", "order_date", "last_number", "last_date")
             seq = number_within(fresh, ["user_id"], ["order_date", "order_id"], "_nth", prev={"order_date": "_prev"})
             before = F.coalesce("_prev", "last_date")
             orders = write("orders", seq.select(
@@ -119,15 +121,16 @@ class OrderStream:
             pair = ["user_id", "product_id"]
             opening = mine.groupBy(*pair).agg(F.min("order_number").alias("_first")).join(
                 bought.withColumn("_had", F.lit(True)), pair, "left")
+            opening = materialize(opening, "opening")
             marked = mine.join(opening, pair).withColumn(
                 "reordered", (F.col("_had").isNotNull() | (F.col("order_number") > F.col("_first"))).cast("long"))
-            done = write("order_lines", marked.select(*_names(ORDER_LINES)))
+            write("order_lines", marked.select(*_names(ORDER_LINES)))
 
             newest = orders.groupBy("user_id").agg(F.max(F.struct("order_number", "order_date", "order_id")).alias("n")).select(
                 "user_id", F.col("n.order_number").alias("last_number"), F.col("n.order_date").alias("last_date"),
                 F.col("n.order_id").alias("last_id"))
             write("last", last.join(newest, "user_id", "left_anti").unionByName(newest))
-            write("bought", bought.unionByName(done.select(*pair)).distinct())
+            write("bought", bought.unionByName(opening.where("_had is null").select(*pair).na.drop()))
 
         parts = {t: [*state["parts"][t], made[t]] if t in _GROWING else [made[t]] for t in _TABLES}
         switch_manifest(self.spark, self.base, {"batch": batch_id, "parts": parts})

@@ -69,3 +69,17 @@ def test_state_is_replaced_and_its_former_parts_deleted(spark, tmp_path):
     parts = [os.listdir(f"{tmp_path}/parts/{d}") for d in sorted(os.listdir(f"{tmp_path}/parts"))]
     assert [sorted(x) for x in parts[:2]] == [["late", "order_lines", "orders"]] * 2 and sorted(parts[2]) == sorted(S._TABLES)
     assert s.orders(K.TRAIN_SHARE, K.SEED).where(F.col("eval_set") != "prior").count() == 1
+
+
+def test_a_batch_adds_only_new_pairs_and_looks_up_few_late_orders(spark, tmp_path, monkeypatch):
+    s = S.OrderStream(spark, str(tmp_path))
+    frame = lambda *r: spark.createDataFrame(list(r), S.LINES)
+    s.process(frame(line(10, 1, 5, 7), line(10, 2, 5, 7, 2), line(20, 1, 3, 8)), 0)
+
+    def regroup(df):
+        raise AssertionError("all pairs are grouped again")
+
+    monkeypatch.setattr(type(spark.range(1)), "distinct", regroup)
+    s.process(frame(line(11, 1, 6, 7), line(11, 3, 6, 7, 2), line(12, 3, 4, 7)), 1)
+    assert rows(s.table("bought")) == [(7, 1), (7, 2), (7, 3), (8, 1)]
+    assert [r.order_id for r in s.table("late").collect()] == [12]
