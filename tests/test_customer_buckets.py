@@ -57,3 +57,23 @@ def test_release_drops_the_tables(spark, sf_small):
     assert names and all(spark.catalog.tableExists(n) for n in names)
     p.release()
     assert not any(spark.catalog.tableExists(n) for n in names)
+
+
+def test_labels_meet_the_narrow_candidates(spark, sf_small):
+    """No exchange on (customer, product) carries customer or product features."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _pipe(spark, sf_small).feature_frame("train")._jdf.queryExecution().optimizedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    pending, seen = [plan], 0
+    while pending:
+        node = pending.pop()
+        kids = node.children()
+        pending += [kids.apply(i) for i in range(kids.size())]
+        if node.nodeName() == "Join" and "product_id" in node.condition().toString() and "user_id" in node.condition().toString():
+            seen += 1
+            out = [kids.apply(i).output().mkString(",") for i in range(kids.size())]
+            assert not any("user_total" in o or "product_avg" in o for o in out)
+    assert seen == 1
