@@ -77,3 +77,9 @@ def test_labels_meet_the_narrow_candidates(spark, sf_small):
             out = [kids.apply(i).output().mkString(",") for i in range(kids.size())]
             assert not any("user_total" in o or "product_avg" in o for o in out)
     assert seen == 1
+
+
+def test_stage_tables_are_compressed_well(spark, sf_small):
+    p = _pipe(spark, sf_small)
+    p.clean
+    assert all(".zstd." in f for f in p.clean.inputFiles()) and p.clean.inputFiles()
