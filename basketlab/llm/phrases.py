@@ -51,7 +51,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketlab.llm.arrays import ROW_BYTES, flat, lean, row_blocks, words
+from basketlab.llm.arrays import ROW_BYTES, flat, lean, release, row_blocks, words
 from basketlab.llm.store import read
 from basketlab.operators.indexing import dense_index
 from basketlab.session import delete_paths, materialize
@@ -142,7 +142,8 @@ def count_texts(texts: pa.Array, langs: pa.Array, max_words: int = MAX_WORDS) ->
         langs = langs.combine_chunks()
     labels, at = ranked(pa.concat_arrays([langs.take(pa.array(row)), found]))
     lang, word = at[:len(s)], at[len(s):]
-    marks = np.append(0, np.cumsum(_PIECE[raw]))[s]
+    marks = np.cumsum(_PIECE[raw], dtype=np.int32)[s]      # a word begins with no mark
+    del raw, data, found
     joined = np.append((marks[1:] == marks[:-1]) & (row[1:] == row[:-1]), False)[:len(s)]
     columns, on, ahead = [lang, word], np.ones(len(s), bool), word
     for _ in range(max_words - 1):
@@ -357,6 +358,7 @@ def shard_table(docs: DataFrame, text_col: str, lang_col: str, max_words: int) -
                 if held and size + n > SHARD_BYTES:
                     yield emit()
                     held, size = [], 0
+                    release()                   # what one shard took, before the next one
                 held.append(b)
                 size += n
         if held:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -68,6 +69,16 @@ def test_phrases_against_their_definition(spark, monkeypatch, sample, entries, f
     assert sorted(map(tuple, got.collect())) == best_phrases(rows, top=15)
 
 
+def test_a_shard_takes_little_beside_its_text():
+    texts = pa.array([("w" * 99 + " ") * 10000] * 4)              # 4 MB of few words
+    phrases.count_texts(texts[:1], pa.array(["en"]))
+    tracemalloc.start()
+    a = phrases.count_texts(texts, pa.array(["en"] * 4))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert a.count[1].tolist() == [40000] and peak < 13 * 4 * 10 ** 6
+
+
 def test_phrases_of_nothing(spark, nothing):
     assert phrases.collocations(nothing).count() == 0
     one = spark.createDataFrame([(None, None)], "text string, lang string")
