@@ -42,7 +42,7 @@ ignored.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,7 +76,8 @@ _LOWER[65:91] += 32
 class Automaton:
     """Level d holds the paths of d labels (language first) in order: the
     position of the path without its last label in the level above, the last
-    label's position in ``labels`` (sorted, distinct), and the count."""
+    label's position in ``labels`` (sorted, distinct), and the count. Arrays
+    are of 32 bits where their values allow it (``narrow``)."""
     labels: pa.Array
     parent: list[np.ndarray]
     label: list[np.ndarray]
@@ -90,7 +91,7 @@ class Automaton:
         return sum(len(x) for x in self.label)
 
     def keys(self, d: int) -> np.ndarray:
-        return self.parent[d] * len(self.labels) + self.label[d]
+        return arc_keys(self.parent[d], len(self.labels), self.label[d])
 
     def column(self, d: int, rows: np.ndarray, e: int) -> pa.Array:
         """Label ``e`` of the paths ``rows`` of level ``d``."""
@@ -99,34 +100,62 @@ class Automaton:
         return self.labels.take(pa.array(self.label[e][rows]))
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """``x`` in 32 bits if its values fit."""
+    return x.astype(np.int32, copy=False) if len(x) == 0 or -2**31 <= x.min() and x.max() < 2**31 else x
+
+
+def arc_keys(state: np.ndarray, n_labels: int, label: np.ndarray) -> np.ndarray:
+    """One number for each arc, in the order of states, then labels."""
+    key = state.astype(np.int64)
+    key *= n_labels
+    key += label
+    return key
+
+
+def coded(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.unique`` with the inverse, in fewer temporary arrays."""
+    order = np.argsort(key)
+    value = key[order]
+    first = np.ones(len(key), bool)
+    np.not_equal(value[1:], value[:-1], out=first[1:])
+    value = value[first]
+    size = np.int32 if len(key) < 2**31 else np.int64
+    rank = np.cumsum(first, dtype=size)
+    rank -= 1
+    where = np.empty(len(key), size)
+    where[order] = rank
+    return value, where
+
+
 def ranked(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(sorted distinct values, position of each value among them)."""
-    coded = values.dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
-
-
-def grown(columns: list[np.ndarray], labels: pa.Array):
-    """(automaton, state of each row at each level) of label sequences:
-    ``columns[d]`` holds the label at level d of each row, -1 where the
-    sequence is shorter. A path's count is the number of rows that begin
-    with it."""
-    out, states = Automaton(labels, [], [], []), []
-    state = np.zeros(len(columns[0]), np.int64)
+    encoded = values.dictionary_encode()
+    order = pc.sort_indices(encoded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order), dtype=np.int32)
+    return encoded.dictionary.take(pa.array(order)), rank[encoded.indices.to_numpy()]
+
+
+def grown(columns: list[np.ndarray], labels: pa.Array, states: list[np.ndarray] | None = None) -> Automaton:
+    """The automaton of label sequences: ``columns[d]`` holds the label at
+    level d of each row, -1 where the sequence is shorter. A path's count is
+    the number of rows that begin with it. The state of each row at each
+    level is appended to ``states``, if given."""
+    out = Automaton(labels, [], [], [])
+    state = np.zeros(len(columns[0]), np.int32)
     for c in columns:
         here = c >= 0
-        key = state[here] * len(labels) + c[here]
-        found, where = np.unique(key, return_inverse=True)
-        n = np.bincount(where, minlength=len(found))
-        out.parent.append(found // max(1, len(labels)))
-        out.label.append(found % max(1, len(labels)))
-        out.count.append(n)
-        state = np.full(len(c), -1, np.int64)
+        found, where = coded(arc_keys(state[here], len(labels), c[here]))
+        out.count.append(narrow(np.bincount(where, minlength=len(found))))
+        out.parent.append(narrow(found // max(1, len(labels))))
+        found %= max(1, len(labels))
+        out.label.append(narrow(found))
+        state = np.full(len(c), -1, where.dtype)
         state[here] = where
-        states.append(state)
-    return out, states
+        if states is not None:
+            states.append(state)
+    return out
 
 
 def count_texts(texts: pa.Array, langs: pa.Array, max_words: int = MAX_WORDS) -> Automaton:
@@ -143,14 +172,15 @@ def count_texts(texts: pa.Array, langs: pa.Array, max_words: int = MAX_WORDS) ->
     labels, at = ranked(pa.concat_arrays([langs.take(pa.array(row)), found]))
     lang, word = at[:len(s)], at[len(s):]
     marks = np.cumsum(_PIECE[raw], dtype=np.int32)[s]      # a word begins with no mark
-    del raw, data, found
+    del raw, data, found, ends, e
     joined = np.append((marks[1:] == marks[:-1]) & (row[1:] == row[:-1]), False)[:len(s)]
-    columns, on, ahead = [lang, word], np.ones(len(s), bool), word
+    columns, on, ahead, n = [lang, word], np.ones(len(s), bool), word, len(s)
+    del marks, row, s
     for _ in range(max_words - 1):
         on = on & joined                       # the next word belongs to the same piece
-        joined, ahead = np.append(joined[1:], False)[:len(s)], np.append(ahead[1:], -1)[:len(s)]
-        columns.append(np.where(on, ahead, -1))
-    return grown(columns, labels)[0]
+        joined, ahead = np.append(joined[1:], False)[:n], np.append(ahead[1:], np.int32(-1))[:n]
+        columns.append(np.where(on, ahead, np.int32(-1)))
+    return grown(columns, labels)
 
 
 def pack_automaton(a: Automaton) -> bytes:
@@ -160,30 +190,29 @@ def pack_automaton(a: Automaton) -> bytes:
     output."""
     arrays = []
     for d in range(a.depth):
-        above = a.count[d - 1] if d else np.zeros(1, np.int64)
-        arcs = np.bincount(a.parent[d], minlength=len(above))
+        above = a.count[d - 1] if d else np.zeros(1, np.int32)
+        arcs = narrow(np.bincount(a.parent[d], minlength=len(above)))
         out = a.count[d] - above[a.parent[d]]
         if d < a.depth - 1 or d == 0:
             arrays += [arcs, a.label[d], out]
             continue
-        first = np.cumsum(arcs) - arcs
         single, several = arcs == 1, arcs > 1
-        lone = first[single]
+        lone = (np.cumsum(arcs) - arcs)[single]
         least = int(out.min(initial=0))
         span = int(out.max(initial=0)) - least + 1
-        shared, which = np.unique(a.label[d][lone] * span + (out[lone] - least), return_inverse=True)
+        shared, which = coded(arc_keys(a.label[d][lone], span, out[lone].astype(np.int64) - least))
         state = np.zeros(len(arcs), np.int64)
         state[single] = 1 + which
         state[several] = 1 + len(shared) + np.arange(several.sum())
         rest = np.repeat(several, arcs)
         arrays += [state, np.concatenate([[0], np.ones(len(shared), np.int64), arcs[several]]),
                    np.append(shared // span, a.label[d][rest]), np.append(shared % span + least, out[rest])]
+        arrays[-4:] = map(narrow, arrays[-4:])
     text = a.labels.cast(pa.large_binary())
     raw, offsets = flat(text.cast(pa.large_string()))
-    arrays.append(np.diff(offsets))
-    small = [x.astype(np.int32) if len(x) == 0 or -2**31 <= x.min() and x.max() < 2**31 else x for x in arrays]
-    head = np.array([a.depth, len(raw), *[v for x in small for v in (len(x), x.itemsize)]], np.int64)
-    body = b"".join([len(head).to_bytes(4, "little"), head.tobytes(), *[x.tobytes() for x in small], raw.tobytes()])
+    arrays = [np.ascontiguousarray(narrow(x)) for x in (*arrays, np.diff(offsets))]
+    head = np.array([a.depth, len(raw), *[v for x in arrays for v in (len(x), x.itemsize)]], np.int64)
+    body = b"".join([len(head).to_bytes(4, "little"), head, *arrays, raw])
     return len(body).to_bytes(8, "little") + pa.compress(body, "zstd", asbytes=True)
 
 
@@ -193,12 +222,12 @@ def unpack_automaton(packed: bytes) -> Automaton:
     head = np.frombuffer(body, np.int64, n, 4)
     depth, size, at, arrays = int(head[0]), int(head[1]), 4 + 8 * n, []
     for length, item in zip(head[2::2].tolist(), head[3::2].tolist()):
-        arrays.append(np.frombuffer(body, np.int32 if item == 4 else np.int64, length, at).astype(np.int64))
+        arrays.append(np.frombuffer(body, np.int32 if item == 4 else np.int64, length, at))
         at += length * item
-    ends = np.append(0, np.cumsum(arrays.pop()))
+    ends = np.append(0, np.cumsum(arrays.pop(), dtype=np.int64))
     labels = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [
         None, pa.py_buffer(ends), pa.py_buffer(body[at:at + size])])
-    a, above, k = Automaton(labels, [], [], []), np.zeros(1, np.int64), 0
+    a, above, k = Automaton(labels, [], [], []), np.zeros(1, np.int32), 0
     for d in range(depth):
         if d < depth - 1 or d == 0:
             arcs, label, out = arrays[k:k + 3]
@@ -206,9 +235,10 @@ def unpack_automaton(packed: bytes) -> Automaton:
         else:
             state, of, label, out = arrays[k:k + 4]
             first, arcs = (np.cumsum(of) - of)[state], of[state]
-            place = np.repeat(first - (np.cumsum(arcs) - arcs), arcs) + np.arange(arcs.sum())
+            place = np.repeat(narrow(first - (np.cumsum(arcs) - arcs)), arcs)
+            place += np.arange(len(place), dtype=place.dtype)
             label, out = label[place], out[place]
-        parent = np.repeat(np.arange(len(above)), arcs)
+        parent = np.repeat(narrow(np.arange(len(above))), arcs)
         a.parent.append(parent)
         a.label.append(label)
         a.count.append(out + above[parent])
@@ -218,19 +248,20 @@ def unpack_automaton(packed: bytes) -> Automaton:
 
 def positions(a: Automaton, cuts: list[tuple[str, ...]]) -> np.ndarray:
     """(cuts, levels): paths of each level before each cut."""
-    values = a.labels.to_pylist()
-    index = {v: i for i, v in enumerate(values)}
+    index = {}                                  # label of a cut: place in the labels, whether it is there
+    for v in {v for cut in cuts for v in cut}:
+        i = bisect_left(range(len(a.labels)), v, key=lambda i: a.labels[i].as_py())
+        index[v] = i, i < len(a.labels) and a.labels[i].as_py() == v
     keys = [a.keys(d) for d in range(a.depth)]
     out = np.zeros((len(cuts), a.depth), np.int64)
     for i, cut in enumerate(cuts):
         state, same = 0, True                   # place of the cut's beginning in the level above; whether it is there
         for d in range(a.depth):
-            target = state * len(values)
+            target = state * len(a.labels)
             have = same and d < len(cut)
             if have:
-                here = index.get(cut[d])
-                target += bisect_right(values, cut[d]) if here is None else here
-                have = here is not None
+                here, have = index[cut[d]]
+                target += here
             state = int(np.searchsorted(keys[d], target))
             same = have and state < len(keys[d]) and int(keys[d][state]) == target
             out[i, d] = state + (1 if same and d + 1 < len(cut) else 0)
@@ -246,7 +277,7 @@ def piece(a: Automaton, low: np.ndarray, high: np.ndarray) -> Automaton | None:
         parents = int(a.parent[d][start[d]]) if start[d] < high[d] else None
     if all(s >= h for s, h in zip(start, high)):
         return None
-    used, label = np.unique(np.concatenate([a.label[d][start[d]:high[d]] for d in range(a.depth)]), return_inverse=True)
+    used, label = coded(np.concatenate([a.label[d][start[d]:high[d]] for d in range(a.depth)]))
     out, at = Automaton(a.labels.take(pa.array(used)), [], [], []), 0
     for d in range(a.depth):
         n = max(0, int(high[d]) - start[d])
@@ -277,19 +308,22 @@ def union(parts: list[Automaton]) -> Automaton:
     labels, at = ranked(pa.concat_arrays([p.labels for p in parts]))
     first = np.cumsum([0] + [len(p.labels) for p in parts])
     out = Automaton(labels, [], [], [])
-    states = [np.zeros(1, np.int64) for _ in parts]
+    states = [np.zeros(1, np.int32) for _ in parts]
     for d in range(max(p.depth for p in parts)):
-        keys = [states[i][p.parent[d]] * len(labels) + at[first[i] + p.label[d]] for i, p in enumerate(parts)]
-        found, where = np.unique(np.concatenate(keys), return_inverse=True)
+        edge = np.cumsum([0] + [len(p.label[d]) for p in parts])
+        keys = np.empty(edge[-1], np.int64)
+        for i, p in enumerate(parts):
+            keys[edge[i]:edge[i + 1]] = arc_keys(states[i][p.parent[d]], len(labels), at[first[i] + p.label[d]])
+        found, where = coded(keys)
+        del keys
         total = np.zeros(len(found), np.int64)
-        upto = 0
         for i, p in enumerate(parts):
-            states[i] = where[upto:upto + len(keys[i])]
+            states[i] = where[edge[i]:edge[i + 1]]
             total[states[i]] += p.count[d]      # distinct states within one automaton
-            upto += len(keys[i])
-        out.parent.append(found // len(labels))
-        out.label.append(found % len(labels))
-        out.count.append(total)
+        out.count.append(narrow(total))
+        out.parent.append(narrow(found // len(labels)))
+        found %= len(labels)
+        out.label.append(narrow(found))
     return out
 
 
@@ -298,14 +332,14 @@ def pruned(a: Automaton, least: int) -> Automaton:
     keep = [c >= least for c in a.count]
     for d in range(a.depth - 1, 0, -1):
         keep[d - 1][a.parent[d][keep[d]]] = True
-    used, label = np.unique(np.concatenate([a.label[d][keep[d]] for d in range(a.depth)]), return_inverse=True)
-    out, at, number = Automaton(a.labels.take(pa.array(used)), [], [], []), 0, np.zeros(1, np.int64)
+    used, label = coded(np.concatenate([a.label[d][keep[d]] for d in range(a.depth)]))
+    out, at, number = Automaton(a.labels.take(pa.array(used)), [], [], []), 0, np.zeros(1, np.int32)
     for d in range(a.depth):
         n = int(keep[d].sum())
         out.parent.append(number[a.parent[d][keep[d]]])
         out.label.append(label[at:at + n])
         out.count.append(a.count[d][keep[d]])
-        number, at = np.cumsum(keep[d]) - 1, at + n
+        number, at = narrow(np.cumsum(keep[d]) - 1), at + n
     return out
 
 
@@ -319,7 +353,8 @@ def acceptor(langs: pa.Array, phrases: pa.Array) -> tuple[Automaton, np.ndarray,
     columns = [lang]
     for d in range(int(size.max(initial=0))):
         columns.append(np.where(size > d, word[np.minimum(first + d, len(word) - 1)], -1))
-    a, states = grown(columns, labels)
+    states: list[np.ndarray] = []
+    a = grown(columns, labels, states)
     return a, size, np.stack(states)[size, np.arange(len(size))]
 
 
@@ -333,7 +368,7 @@ def compose(asked: Automaton, counts: Automaton) -> list[np.ndarray]:
             state = np.full(len(asked.label[d]), -1, np.int64)
             out.append(np.zeros(len(state), np.int64))
             continue
-        before, mine = state[asked.parent[d]], label[asked.label[d]]
+        before, mine = state[asked.parent[d]].astype(np.int64), label[asked.label[d]]
         keys = counts.keys(d)
         target = np.where((before < 0) | (mine < 0), -1, before * len(counts.labels) + mine)
         at = np.minimum(np.searchsorted(keys, target), len(keys) - 1)
@@ -343,7 +378,9 @@ def compose(asked: Automaton, counts: Automaton) -> list[np.ndarray]:
 
 
 def shard_table(docs: DataFrame, text_col: str, lang_col: str, max_words: int) -> DataFrame:
-    """(body): one automaton for each SHARD_BYTES of text, a written table."""
+    """(body): one automaton for each SHARD_BYTES of text, a written table.
+    Bodies are compressed already, so Parquet's codec, which holds whole
+    pages of them outside the heap, is left out."""
     def build(batches):
         held, size = [], 0
 
@@ -365,7 +402,7 @@ def shard_table(docs: DataFrame, text_col: str, lang_col: str, max_words: int) -
             yield emit()
 
     plain = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    return materialize(plain.mapInArrow(lean(build), "body binary"), "shards")
+    return materialize(plain.mapInArrow(lean(build), "body binary"), "shards", codec="uncompressed")
 
 
 def _path_columns(a: Automaton, d: int, rows: np.ndarray, width: int) -> list[pa.Array]:
@@ -422,15 +459,19 @@ def count_ranges(shards: DataFrame, cuts: list[tuple[str, ...]], min_count: int,
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([at * (span // run) + i], pa.int32()), pa.array([group], pa.int32()),
                              pa.array([pack_automaton(p)], pa.binary())], ["range", "part", "body"])
+                    release()                   # what one shard took, before the next one
 
         def unite(table: pa.Table) -> pa.Table:
             a = union([unpack_automaton(x.as_py()) for x in table.column("body")])
             body = pack_automaton(pruned(a, min_count) if last else a)
+            del a
+            release()
             return pa.table({"range": table.column("range").slice(0, 1), "body": pa.array([body], pa.binary())})
 
         here: list[str] = []
         dealt = rows.mapInArrow(lean(deal), "range int, part int, body binary")
-        rows = materialize(dealt.groupBy("range", "part").applyInArrow(unite, "range int, body binary"), "ranges", here)
+        rows = materialize(dealt.groupBy("range", "part").applyInArrow(unite, "range int, body binary"), "ranges", here,
+                           codec="uncompressed")
         delete_paths(spark, written)
         if last:
             return rows
@@ -453,7 +494,7 @@ def frequent(ranges: DataFrame, min_count: int) -> DataFrame:
                               else pa.array([""] * len(rows), pa.large_string()))
                     yield pa.RecordBatch.from_arrays(
                         [path[0].cast(pa.string()), phrase.cast(pa.string()), pa.array(np.full(len(rows), d, np.int32)),
-                         pa.array(a.count[d][rows])], ["lang", "phrase", "words", "f"])
+                         pa.array(a.count[d][rows], pa.int64())], ["lang", "phrase", "words", "f"])
 
     return ranges.mapInArrow(lean(spell), "lang string, phrase string, words int, f long")
 
