@@ -64,3 +64,36 @@ def test_models_are_fitted_side_by_side(spark, monkeypatch):
     fitted = M.fit_models(df, M.ModelSettings().with_rounds(1, trees=2))
     assert list(fitted) == ["logistic", "gbt_leafwise", "gbt_depthwise", "forest"]
     assert fitted["forest"].getNumTrees == 2 and fitted["gbt_leafwise"].getNumTrees == 1
+
+
+def test_many_rows_are_dealt_evenly_and_fitted_two_at_a_time(spark, monkeypatch):
+    """One task a core with its share of the rows, whatever bytes a split may
+    have; two fits at a time, boosted trees first; a forest of the same settings."""
+    import threading
+    monkeypatch.setattr(M, "MANY_ROWS", 100)
+    rows = [(i % 2, i // 20, i % 20, *[float((i * 7 + j) % 5) for j in range(len(K.ALL_FEATURES))]) for i in range(400)]
+    df = spark.createDataFrame(rows, ["labels", "user_id", "product_id", *K.ALL_FEATURES]).repartition(11)
+    lock, now, most, seen = threading.Lock(), [0], [0], []
+    for cls in (M.LogisticRegression, M.GBTClassifier, M.RandomForestClassifier):
+        def fit(self, data, plain=cls.fit):
+            with lock:
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                seen.append((type(self).__name__, [len(p) for p in data.rdd.glom().collect()]))
+            try:
+                return plain(self, data)
+            finally:
+                with lock:
+                    now[0] -= 1
+        monkeypatch.setattr(cls, "fit", fit)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    fitted = M.fit_models(df, M.ModelSettings().with_rounds(1, trees=3))
+    assert most == [2] and [n for n, _ in seen[:2]] == ["GBTClassifier"] * 2
+    for _, sizes in seen:
+        assert len(sizes) == spark.sparkContext.defaultParallelism and sum(sizes) == 400 and min(sizes) >= 50
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == was
+    assert list(fitted) == ["logistic", "gbt_leafwise", "gbt_depthwise", "forest"]
+    assert fitted["forest"].getNumTrees == 3 and fitted["forest"].getMaxDepth() == K.FOREST["maxDepth"]
+    assert fitted["forest"].getOrDefault("maxMemoryInMB") == M.FOREST_GROUP_MB
+    p = M.score(fitted, df).agg(F.count("pred").alias("n"), F.min("pred").alias("lo"), F.max("pred").alias("hi")).first()
+    assert p.n == 400 and 0 <= p.lo <= p.hi <= 1
